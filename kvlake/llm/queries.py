@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import extendible, mixing, secrets_ledger
+from . import extendible, mixing, secrets_ledger, simhash, vector_dedup
 
 
 def table(spark, sf_dir, name):
@@ -36,6 +36,11 @@ def op5_mixing(spark, sf_dir):
     return m.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op6_simhash(spark, sf_dir):
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op7_secrets(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets_ledger.fresh_ledger(spark).scan(docs, path_col="doc_id")
@@ -44,11 +49,17 @@ def op7_secrets(spark, sf_dir):
     return found.select(F.col("path").alias("doc_id"), n("assign"), n("access"), n("hex"), F.sha2(joined, 256).alias("base_sha256"), joined.alias("spans"))
 
 
+def op10_vectors(spark, sf_dir):
+    return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def queries():
     return {
         "op4_sharding": op4_sharding,
         "op5_mixing": op5_mixing,
+        "op6_simhash": op6_simhash,
         "op7_secrets": op7_secrets,
+        "op10_vectors": op10_vectors,
     }
 
 
