@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import extendible, mixing, secrets_ledger, simhash, vector_dedup
+from . import extendible, mixing, secrets_ledger, simhash, toxicity, vector_dedup
 
 
 def table(spark, sf_dir, name):
@@ -49,6 +49,12 @@ def op7_secrets(spark, sf_dir):
     return found.select(F.col("path").alias("doc_id"), n("assign"), n("access"), n("hex"), F.sha2(joined, 256).alias("base_sha256"), joined.alias("spans"))
 
 
+def op9_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scores(docs, model).withColumnRenamed("id", "doc_id")
+
+
 def op10_vectors(spark, sf_dir):
     return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
@@ -59,6 +65,7 @@ def queries():
         "op5_mixing": op5_mixing,
         "op6_simhash": op6_simhash,
         "op7_secrets": op7_secrets,
+        "op9_toxicity": op9_toxicity,
         "op10_vectors": op10_vectors,
     }
 
