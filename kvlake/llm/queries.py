@@ -4,13 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import extendible, mixing, secrets_ledger, simhash, toxicity, vector_dedup
+from . import bpe, extendible, mixing, secrets_ledger, simhash, toxicity, vector_dedup
 
 
 def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_spec(path: str | None = None) -> str:
+    """The JSON of a tokenizer file, read where the driver is; tasks get its text."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as f:
+        return f.read()
+
+
+def token_digests(encoded):
+    """n_tokens and the digests of ids and of the decoded text."""
+    ids = F.array_join(F.col("tokens").cast("array<string>"), ",")
+    return [F.size("tokens").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256")]
+
+
+def op2_bpe(spark, sf_dir):
+    found = bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_spec())
+    return found.select(F.col("id").alias("doc_id"), *token_digests(found))
+
+
 def op4_sharding(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return extendible.shards(docs, limit=SHARD_BYTES).select("doc_id", "shard", "n_bytes", "shard_bytes", "oversized")
@@ -61,6 +82,7 @@ def op10_vectors(spark, sf_dir):
 
 def queries():
     return {
+        "op2_bpe": op2_bpe,
         "op4_sharding": op4_sharding,
         "op5_mixing": op5_mixing,
         "op6_simhash": op6_simhash,
