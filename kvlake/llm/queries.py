@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, extendible, mixing, secrets_ledger, simhash, toxicity, vector_dedup
+from . import bpe, extendible, mixing, secrets_ledger, simhash, toxicity, vector_dedup, warc
 
 
 def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark, sf_dir):
+    packages = warc.write_packages(table(spark, sf_dir, "pages"))
+    r = warc.read_packages(spark, packages)
+    return r.select(warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of(F.col("refers_to")).alias("refers_to"))
+
+
 def tokenizer_spec(path: str | None = None) -> str:
     """The JSON of a tokenizer file, read where the driver is; tasks get its text."""
     if path is None:
@@ -82,6 +88,7 @@ def op10_vectors(spark, sf_dir):
 
 def queries():
     return {
+        "op1_warc": op1_warc,
         "op2_bpe": op2_bpe,
         "op4_sharding": op4_sharding,
         "op5_mixing": op5_mixing,
