@@ -98,29 +98,45 @@ def piece_table(spark: SparkSession, spec: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(map(bytearray, pieces_of(spec)))), "token int, piece binary")
 
 
-_PLACES = T.StructType([T.StructField("block", T.LongType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("word_bytes", T.LongType()), T.StructField("lengths", T.BinaryType()), T.StructField("places", T.BinaryType())])
+#: Words are ordered by their hash's cell; a part is a range of cells.
+CELLS = 1 << 16
+_PLACES = T.StructType([T.StructField("block", T.LongType()), T.StructField("words", T.ArrayType(T.StringType())), *[T.StructField(c, T.BinaryType()) for c in ("cells", "order", "lengths", "places")], T.StructField("word_bytes", T.LongType())])
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Whole numbers by byte plane, compressed: of small numbers the high planes vanish."""
+    x = x.astype("<i4")
+    return zlib.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel()
 
 
 def _blocks(docs: DataFrame, spec: str) -> DataFrame:
-    """``docs`` has id and text. A row for each block: its ids, words, texts' lengths in words and the words' places."""
-    kind = docs.schema["id"].dataType
-    schema = T.StructType([*_PLACES.fields, T.StructField("ids", T.ArrayType(kind))])
+    """``docs`` has id and text. A row for each block: its ids, its words by cell, texts' lengths in words and the words' places.
+
+    Places count words as they first came, so that frequent words have small numbers; ``order`` has the
+    place of each listed word.
+    """
+    schema = T.StructType([*_PLACES.fields, T.StructField("ids", T.ArrayType(docs.schema["id"].dataType))])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, n_block = splitter(spec), TaskContext.get().partitionId() << 32
 
         def block() -> pa.RecordBatch:
-            words = list(known)
-            cells = [n_block, words, sum(map(len, words)), np.array(lengths, np.int32).tobytes(), zlib.compress(np.concatenate([np.zeros(0, np.int32), *places]).tobytes(), 1)]
-            types = [pa.int64(), pa.list_(pa.string()), pa.int64(), pa.binary(), pa.binary()]
-            arrays = [pa.array([c], t) for c, t in zip(cells, types, strict=True)]
-            ids_cell = pa.concat_arrays([pa.array([], arrow), *ids])
-            arrays.append(pa.ListArray.from_arrays(pa.array([0, len(ids_cell)], pa.int32()), ids_cell))
+            words = pa.array(list(known), pa.string())
+            cells = np.fromiter((zlib.crc32(w.encode()) & (CELLS - 1) for w in known), np.int32, len(known))
+            order = np.argsort(cells, kind="stable")
+            words = words.take(pa.array(order))
+            listed = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            packed = [pa.array([_pack(x)], pa.binary()) for x in (cells[order], order, np.array(lengths, np.int32), np.concatenate([np.zeros(0, np.int32), *places]))]
+            arrays = [pa.array([n_block], pa.int64()), listed(words), *packed, pa.array([sum(map(len, known))], pa.int64()), listed(pa.concat_arrays(ids))]
             return pa.RecordBatch.from_arrays(arrays, [f.name for f in schema.fields])
 
-        known, ids, lengths, places, size, arrow = {}, [], [], [], 0, None
+        known, ids, lengths, places, size = {}, [], [], [], 0
         for b in batches:
-            arrow = b.column(0).type
             ids.append(b.column(0))
             for t in b.column(1):
                 text = t.as_py() or ""
@@ -142,22 +158,26 @@ def _blocks(docs: DataFrame, spec: str) -> DataFrame:
 
 
 def _asked(table: DataFrame, parts: int) -> DataFrame:
-    """Each block's words by part: (part, block, words, at), ``at`` their places among the block's words."""
+    """Each block's words by part: (part, block, sizes, words), both packed; a block's parts are in the order of its words."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for block, words in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for block, words, cells in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 words = words.values
-                where = np.fromiter((zlib.crc32(w.encode()) % parts for w in words.to_pylist()), np.int64, len(words))
-                order = np.argsort(where, kind="stable")
-                cuts = np.searchsorted(where[order], np.arange(parts + 1))
-                rows = [(p, order[cuts[p] : cuts[p + 1]]) for p in range(parts) if cuts[p] < cuts[p + 1]]
-                cells = [pa.array([p for p, _ in rows], pa.int32()), pa.array([block] * len(rows), pa.int64())]
-                cells.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(o) for _, o in rows]), pa.int32()), words.take(pa.array(order))))
-                cells.append(pa.array([o.astype(np.int32).tobytes() for _, o in rows], pa.binary()))
-                yield pa.RecordBatch.from_arrays(cells, ["part", "block", "words", "at"])
+                part = _unpack(cells).astype(np.int64) * parts // CELLS
+                cuts = np.searchsorted(part, np.arange(parts + 1))
+                ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int32)
+                data = memoryview(words.buffers()[2] or b"")
+                rows = [(p, _pack(np.diff(ends[x : y + 1])), zlib.compress(data[ends[x] : ends[y]], 1)) for p, x, y in zip(range(parts), cuts[:-1], cuts[1:], strict=True) if x < y]
+                cells_out = [pa.array([p for p, *_ in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array([s for _, s, _ in rows], pa.binary()), pa.array([w for *_, w in rows], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cells_out, ["part", "block", "sizes", "words"])
+
+    return table.select("block", "words", "cells").mapInArrow(of, "part int, block long, sizes binary, words binary")
+
 
-    return table.select("block", "words").mapInArrow(of, "part int, block long, words array<string>, at binary")
+def _strings(sizes: np.ndarray, data: bytes) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(sizes), pa.py_buffer(ends.tobytes()), pa.py_buffer(data))
 
 
 def _answer(asked: DataFrame, spec: str) -> DataFrame:
@@ -165,8 +185,8 @@ def _answer(asked: DataFrame, spec: str) -> DataFrame:
 
     def of(t: pa.Table) -> pa.Table:
         tokenizer = _tokenizer(spec)
-        lists = t.column("words").combine_chunks()
-        coded = lists.flatten().dictionary_encode()
+        lists = [_strings(_unpack(s), zlib.decompress(w)) for s, w in zip(t.column("sizes").to_pylist(), t.column("words").to_pylist(), strict=True)]
+        coded = pa.concat_arrays(lists).dictionary_encode()
         words = coded.dictionary.to_pylist()
         ids = []
         for k in range(0, len(words), 20_000):
@@ -174,15 +194,15 @@ def _answer(asked: DataFrame, spec: str) -> DataFrame:
         count = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter((i for e in ids for i in e), np.int32, int(count.sum()))
         start = np.cumsum(count) - count
-        own, cuts = coded.indices.to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        own, cuts = coded.indices.to_numpy(), np.cumsum([0, *map(len, lists)])
         counts, tokens = [], []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             w = own[a:b]
-            counts.append(count[w].astype(np.int32).tobytes())
-            tokens.append(zlib.compress(flat[_runs(start[w], count[w])].tobytes(), 1))
-        return pa.table({"block": t.column("block"), "at": t.column("at"), "counts": pa.array(counts, pa.binary()), "tokens": pa.array(tokens, pa.binary())})
+            counts.append(_pack(count[w]))
+            tokens.append(_pack(flat[_runs(start[w], count[w])]))
+        return pa.table({"block": t.column("block"), "part": t.column("part"), "counts": pa.array(counts, pa.binary()), "tokens": pa.array(tokens, pa.binary())})
 
-    return asked.groupBy("part").applyInArrow(of, "block long, at binary, counts binary, tokens binary")
+    return asked.groupBy("part").applyInArrow(of, "block long, part int, counts binary, tokens binary")
 
 
 def _runs(start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -207,22 +227,23 @@ def encode_decode(docs: DataFrame, spec: str, *, id_col: str = "doc_id", text_co
     size = table.agg(F.coalesce(F.sum("word_bytes"), F.lit(0)).alias("b")).first().b
     parts = max(8, math.ceil(size / PART_BYTES))
     with batches_of(spark, 1):
-        answers = written(_answer(_asked(table, parts), spec), "bpe-words")
+        asked = written(_asked(table, parts), "bpe-asked", "uncompressed")
+    answers = _answer(asked, spec)
     vocabulary = pa.array(pieces_of(spec), pa.binary())
     sent = spark.sparkContext.broadcast(vocabulary)
     schema = T.StructType([T.StructField("id", kind), T.StructField("tokens", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
     def lay(t: pa.Table, words: pa.Table) -> Iterator[pa.RecordBatch]:
         pieces = sent.value.to_pylist()
-        for ids, length_cell, place_cell in zip(t.column("ids"), t.column("lengths"), t.column("places"), strict=True):
-            lengths = np.frombuffer(length_cell.as_py(), np.int32)
-            places = np.frombuffer(zlib.decompress(place_cell.as_py()), np.int32)
-            join = lambda name, unpack=bytes: np.frombuffer(b"".join(unpack(x.as_py()) for x in words.column(name)), np.int32)
-            at, got, flat = join("at"), join("counts").astype(np.int64), join("tokens", zlib.decompress)
-            count, start = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-            count[at], start[at] = got, np.cumsum(got) - got
+        for ids, *packed in zip(*[t.column(c) for c in ("ids", "order", "lengths", "places")], strict=True):
+            order, lengths, places = (_unpack(x.as_py()) for x in packed)
+            words = words.sort_by("part")
+            join = lambda name: np.concatenate([np.zeros(0, np.int32), *map(_unpack, words.column(name).to_pylist())])
+            got, flat = join("counts").astype(np.int64), join("tokens")
+            count, start = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+            count[order], start[order] = got, np.cumsum(got) - got
             # the id-to-piece join, once for each distinct word
-            named, text_of = flat.tolist(), [b""] * len(at)
+            named, text_of = flat.tolist(), [b""] * len(order)
             for w, (a, n) in enumerate(zip(start.tolist(), count.tolist(), strict=True)):
                 text_of[w] = pieces[named[a]] if n == 1 else b"".join(map(pieces.__getitem__, named[a : a + n]))
             ends = np.cumsum(lengths)
@@ -242,7 +263,7 @@ def encode_decode(docs: DataFrame, spec: str, *, id_col: str = "doc_id", text_co
         done = list(lay(left, right))
         return pa.Table.from_batches(done) if done else pa.table({f.name: pa.array([], left.column("ids").type.value_type if f.name == "id" else pa.list_(pa.int32()) if f.name == "tokens" else pa.string()) for f in schema.fields})
 
-    placed = spark.table(name).select("block", "ids", "lengths", "places").groupBy("block")
+    placed = spark.table(name).select("block", "ids", "order", "lengths", "places").groupBy("block")
     return placed.cogroup(answers.groupBy("block")).applyInArrow(both, schema)
 
 
