@@ -39,6 +39,8 @@ from .shared import batches_of, scratch, written
 PACKAGE_BYTES = 32 << 20
 #: Bytes of one read over neighbouring records.
 READ_BYTES = 4 << 20
+#: Such reads that a task makes, and tasks at most.
+RUNS_A_TASK, MOST_TASKS = 4, 100_000
 #: Pages in an Arrow batch.
 BATCH = 256
 DATE = "2024-01-01T00:00:00Z"
@@ -301,8 +303,11 @@ def read_packages(spark: SparkSession, packages: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, types, strict=True)], [x.split()[0] for x in RECORD.split(", ")])
 
     with batches_of(spark, 8):
-        found = written(packages.select("path").repartition(max(1, spark.sparkContext.defaultParallelism), "path").mapInArrow(places, "path string, at long, lengths array<long>"), "warc-places")
-    return found.repartition("path", "at").mapInArrow(records, RECORD)
+        names = packages.select("path")
+        found = written(names.repartition(max(1, names.count()), "path").mapInArrow(places, "path string, at long, lengths array<long>"), "warc-places")
+    # places are small and what they stand for is not, so their number says how many tasks there are
+    tasks = min(max(1, -(-found.count() // RUNS_A_TASK)), MOST_TASKS)
+    return found.repartition(tasks, "path", "at").mapInArrow(records, RECORD)
 
 
 def page_of(record_id):
