@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, extendible, mixing, secrets_ledger, simhash, toxicity, vector_dedup, warc
+from . import bpe, extendible, html_text, mixing, secrets_ledger, simhash, toxicity, vector_dedup, warc
 
 
 def table(spark, sf_dir, name):
@@ -38,6 +38,11 @@ def op2_bpe(spark, sf_dir):
     return found.select(F.col("id").alias("doc_id"), *token_digests(found))
 
 
+def op3_html(spark, sf_dir):
+    found = html_text.main_text(table(spark, sf_dir, "pages"))
+    return found.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op4_sharding(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return extendible.shards(docs, limit=SHARD_BYTES).select("doc_id", "shard", "n_bytes", "shard_bytes", "oversized")
@@ -90,6 +95,7 @@ def queries():
     return {
         "op1_warc": op1_warc,
         "op2_bpe": op2_bpe,
+        "op3_html": op3_html,
         "op4_sharding": op4_sharding,
         "op5_mixing": op5_mixing,
         "op6_simhash": op6_simhash,
