@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, extendible, html_text, mixing, secrets_ledger, simhash, toxicity, vector_dedup, warc
+from . import bpe, extendible, html_text, media, media_samples, mixing, secrets_ledger, simhash, toxicity, vector_dedup, warc
 
 
 def table(spark, sf_dir, name):
@@ -81,6 +81,12 @@ def op7_secrets(spark, sf_dir):
     return found.select(F.col("path").alias("doc_id"), n("assign"), n("access"), n("hex"), F.sha2(joined, 256).alias("base_sha256"), joined.alias("spans"))
 
 
+def op8_media(spark, sf_dir):
+    """The tables hold no pictures: every row of embeddings gets one, edits and crops of a family's picture among them."""
+    pictures = media_samples.media_of(table(spark, sf_dir, "embeddings"), "vec_id")
+    return media.copies(pictures).withColumnRenamed("id", "vec_id")
+
+
 def op9_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -100,6 +106,7 @@ def queries():
         "op5_mixing": op5_mixing,
         "op6_simhash": op6_simhash,
         "op7_secrets": op7_secrets,
+        "op8_media": op8_media,
         "op9_toxicity": op9_toxicity,
         "op10_vectors": op10_vectors,
     }
