@@ -138,11 +138,25 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     dim = dims[0].dim if dims else 1
     with batches_of(spark, 2048):
         axes = rotation(nodes, dim) if dims else np.eye(1)
-    # other lengths than the most frequent one are compared in the order that they have
-    lead = [float(x) for x in axes[:, 0]]
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + (x / F.col("big")) * (x / F.col("big")))) * F.col("big")
-    weighted = F.when(F.col("dim") == dim, F.aggregate(F.zip_with("v", F.array(*[F.lit(x) for x in lead]), lambda x, w: x / F.col("norm") * w), F.lit(0.0), lambda s, x: s + x)).otherwise(F.element_at("v", 1) / F.col("norm"))
-    placed = nodes.withColumn("big", F.array_max(F.transform("v", F.abs))).withColumn("norm", norm).withColumn("bin", F.floor((weighted + 1) * (BINS / 2)).cast("int"))
+
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # other lengths than the most frequent one are compared in the order that they have
+        for t in batches:
+            if not t.num_rows:
+                continue
+            lists = t.column("v")
+            size = t.column("dim").to_numpy()
+            lead = np.zeros(t.num_rows)
+            for d in np.unique(size):
+                at = np.flatnonzero(size == d)
+                u = _unit(_matrix(lists.take(pa.array(at))))
+                lead[at] = u @ axes[:, 0] if d == len(axes) else u[:, 0]
+            bins = pa.array(np.floor((lead + 1) * (BINS / 2)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([t.column(c) for c in ("node", "label", "dim")] + [bins, t.column("n"), lists], ["node", "label", "dim", "bin", "n", "v"])
+
+    with batches_of(spark, 2048):
+        chosen = nodes.select("node", "label", "dim", "n", "v")
+        placed = written(chosen.mapInArrow(binned, "node long, label string, dim int, bin int, n long, v array<double>"), "vector-placed")
 
     def linked(t: pa.Table) -> pa.Table:
         side = t.column("side").to_numpy()
@@ -163,7 +177,7 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
         return pa.table({"node": node[has], "links": links[has], "root": node[lab[has]]})
 
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
-    tiles = _tiles(placed.select("node", "label", "dim", "bin", "n", "v"), reach)
+    tiles = _tiles(placed, reach)
     found = written(tiles.groupBy("g").applyInArrow(linked, "node long, links long, root long"), "vector-links")
     roots = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
     counted = found.groupBy("node").agg(F.sum("links").alias("links"))
