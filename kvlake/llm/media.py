@@ -1,13 +1,13 @@
 """Edited and cropped copies in a column of pictures, by local descriptors.
 
 Equal pixels are one node from the start. A node's descriptors have keys in several Hamming tables; nodes
-that share keys are candidates, and a geometric consensus decides. A bucket never makes all its pairs:
-1. each node meets its buckets' least node, a join as long as the buckets; the verified links make components
-2. a bucket whose nodes are then in several components lets those outside its largest component meet all others
+that share keys are candidates, and a geometric consensus decides. A bucket never makes its pairs: each
+node meets one node of its bucket, the first in an order that changes from round to round, unless both
+are in one component by then. Keys that a few pictures share bring those together; a key that thousands
+share, a common corner or a large group of copies, costs as many meetings as it has nodes.
 
-Two nodes that share enough keys are in the end in one component or were compared, so no candidate is
-left out, and a group of copies costs as many comparisons as it has members. What keys miss is measured
-as recall (see the README). Defined results:
+Keys and meetings are an approximate index over all rows. Nothing is capped; the index's recall is
+measured against comparing all pairs. Defined results:
 * null, empty or unreadable media: no link, a component of its own; pictures without enough corners link by equal pixels only
 * repeated rows count alike; null ids stay and name no component, one of null ids alone is null
 * empty table: no rows; columns of the input beside the named ones are not touched
@@ -24,14 +24,16 @@ from pyspark.sql import functions as F
 
 from . import pictures
 from .components import components
-from .shared import batches_of, written
+from .shared import batches_of, release, written
 
 #: Pictures in an Arrow batch; keys that candidates share at least.
-BATCH, VOTES = 64, 5
+BATCH, VOTES = 64, 3
+#: Rounds of meetings.
+ROUNDS = 2
 
 
 def descriptors(media: DataFrame, *, id_col: str = "id", media_col: str = "media") -> DataFrame:
-    """id, digest (null for what is no picture), corners (packed) and keys for each row."""
+    """id, digest (null for what is no picture) and corners (packed) for each row."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -44,13 +46,25 @@ def descriptors(media: DataFrame, *, id_col: str = "id", media_col: str = "media
                     by_shape.setdefault(x.shape, []).append(k)
             for at in by_shape.values():
                 found |= dict(zip(at, pictures.describe(np.stack([seen[k] for k in at])), strict=True))
-            none = (np.zeros(0, complex), np.zeros((0, 4), np.uint64))
-            rows = [found.get(k, none) for k in range(len(seen))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.binary()), pa.array([pictures.pack(*r) for r in rows], pa.binary()), pa.array([pictures.keys(r[1]) for r in rows], pa.list_(pa.int64()))], ["id", "digest", "corners", "keys"])
+            packed = [pictures.pack(*found[k]) if k in found else b"" for k in range(len(seen))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.binary()), pa.array(packed, pa.binary())], ["id", "digest", "corners"])
 
     chosen = media.select(F.col(id_col).cast("long").alias("id"), F.col(media_col).cast("binary").alias("media"))
     with batches_of(media.sparkSession, BATCH):
-        return written(chosen.mapInArrow(of, "id long, digest binary, corners binary, keys array<long>"), "media-rows")
+        return written(chosen.mapInArrow(of, "id long, digest binary, corners binary"), "media-rows")
+
+
+def _keyed(nodes: DataFrame) -> DataFrame:
+    """``nodes`` has node, root and corners. A row (key, node, root) for each of a node's keys."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = [pictures.keys(pictures.unpack(x)[1]) for x in b.column(2).to_pylist()]
+            times = [len(k) for k in keys]
+            flat = np.concatenate([np.zeros(0, np.int64), *keys])
+            yield pa.RecordBatch.from_arrays([pa.array(flat), *[pa.array(np.repeat(b.column(c).to_numpy(), times)) for c in (0, 1)]], ["key", "node", "root"])
+
+    return nodes.select("node", "root", "corners").mapInArrow(of, "key long, node long, root long")
 
 
 def _verified(pairs: DataFrame, corners: DataFrame) -> DataFrame:
@@ -66,41 +80,42 @@ def _verified(pairs: DataFrame, corners: DataFrame) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(of, "u long, v long")
 
 
-def _voted(meetings: DataFrame) -> DataFrame:
-    least, most = F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")
-    return meetings.select(least, most).groupBy("u", "v").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= VOTES).select("u", "v")
+def _rooted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    roots = components(edges).withColumnRenamed("root", "_root")
+    return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("_root", "node")).drop("_root")
 
 
 def links(nodes: DataFrame) -> DataFrame:
-    """``nodes`` has node, corners and keys. Edges u, v that span every component."""
-    with_keys = nodes.select("node", F.explode("keys").alias("key"))
-    buckets = with_keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).filter("n > 1")
-    members = written(with_keys.join(buckets.select("key", "first"), "key"), "media-members")
-    pairs = _voted(members.filter("node <> first").select(F.col("node").alias("x"), F.col("first").alias("y")))
-    first = written(_verified(pairs, nodes), "media-links")
-    roots = components(first).withColumnRenamed("root", "_root")
-    placed = members.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("_root", "node").alias("root"))
-    placed = written(placed, "media-placed")
-    sizes = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
-    apart = placed.join(main.select("key", "main"), "key")
-    out = apart.filter("root <> main").select("key", F.col("node").alias("x"), F.col("root").alias("rx"))
-    inside = apart.select("key", F.col("node").alias("y"), F.col("root").alias("ry"), (F.col("root") == F.col("main")).alias("in_main"))
-    # two nodes outside the largest component meet once
-    met = out.join(inside, "key").filter((F.col("rx") != F.col("ry")) & (F.col("in_main") | (F.col("x") < F.col("y")))).select("x", "y")
-    return first.unionByName(written(_verified(_voted(met), nodes), "media-more-links"))
+    """``nodes`` has node and corners. Edges u, v of verified pairs."""
+    spark = nodes.sparkSession
+    rooted, edges = nodes.withColumn("root", F.col("node")), None
+    for r in range(ROUNDS):
+        keyed = _keyed(rooted)
+        first = F.min(F.struct(F.xxhash64("node", F.lit(r)).alias("order"), "node", "root"))
+        buckets = keyed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), first.alias("first")).filter("a <> b")
+        met = keyed.join(buckets.select("key", F.col("first.node").alias("other"), F.col("first.root").alias("other_root")), "key").filter("root <> other_root")
+        votes = met.groupBy(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        found = written(_verified(votes.filter(F.col("n") >= VOTES).select("u", "v"), nodes), "media-links")
+        edges = found if edges is None else edges.unionByName(found)
+        del keyed, first, buckets, met, votes, found
+        release(spark)
+        if r + 1 < ROUNDS:
+            rooted = written(_rooted(nodes, edges), "media-rooted")
+            release(spark)
+    return edges
 
 
 def copies(media: DataFrame, *, id_col: str = "id", media_col: str = "media") -> DataFrame:
     """id, n_corners, component_id (the least id of the pictures that links reach) and kept for each row."""
     rows = descriptors(media, id_col=id_col, media_col=media_col)
-    nodes = rows.filter(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("id").alias("least"), F.any_value("corners").alias("corners"), F.any_value("keys").alias("keys"))
+    nodes = rows.filter(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("id").alias("least"), F.any_value("corners").alias("corners"))
     nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), "*"), "media-nodes")
-    roots = components(links(nodes.select("node", "corners", "keys")))
+    release(media.sparkSession)
+    roots = components(links(nodes.select("node", "corners")))
     known = written(nodes.select("node", "digest", "least").join(roots, "node", "left").select("digest", "least", F.coalesce("root", "node").alias("root")), "media-roots")
     least = known.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = known.join(least, "root").select("digest", "component_id", F.lit(True).alias("_known"))
     out = rows.join(classes, "digest", "left")
     component = F.when(F.col("_known"), F.col("component_id")).otherwise(F.col("id"))
-    n = (F.octet_length("corners") / 40).cast("int")
+    n = (F.octet_length("corners") / pictures.PACKED).cast("int")
     return out.select("id", n.alias("n_corners"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

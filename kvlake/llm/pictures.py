@@ -22,9 +22,9 @@ STEP, CORNERS = 1.25, (14, 10, 8, 6, 5)
 BORDER, RADIUS, TURNS = 10, 7, 30
 BITS = 256
 #: Tables of so many bits; a shared key makes two descriptors candidates.
-TABLES, KEY_BITS = 6, 72
+TABLES, KEY_BITS = 6, 96
 #: Differing bits of close descriptors, pixels that a corner may miss its place by, corners that must agree.
-CLOSE, MISS, AGREE = 48, 2.5, 8
+CLOSE, MISS, AGREE = 48, 2.5, 9
 
 _rng = np.random.default_rng(2024)
 _PAIRS = np.clip(_rng.normal(0, 3.6, (BITS, 2, 2)), -6.5, 6.5)
@@ -138,12 +138,12 @@ _DISC = np.array([(y, x) for y in range(-RADIUS, RADIUS + 1) for x in range(-RAD
 
 
 def describe(stack: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Of pictures of one shape: for each its corners (complex places at full scale) and descriptors (rows of four 64-bit words)."""
+    """Of pictures of one shape: for each its corners (complex places, at the reduced scale where a side is longer than MOST_SIDE) and descriptors (rows of four 64-bit words)."""
     n, height, width = stack.shape
     if max(height, width) > MOST_SIDE:
         k = MOST_SIDE / max(height, width)
         small = resized(stack, max(1, round(height * k)), max(1, round(width * k)))
-        return [(p / k, d) for p, d in describe(small)]
+        return describe(small)
     base = stack.astype(np.float32)
     owner, place, words = [], [], []
     for level, most in enumerate(CORNERS):
@@ -194,16 +194,21 @@ def keys(words: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate([np.zeros(0, np.uint64), *found])).view(np.int64)
 
 
+#: Bytes of a corner: two coordinates in eighths of a pixel and its descriptor.
+PACKED = 4 + BITS // 8
+
+
 def pack(places: np.ndarray, words: np.ndarray) -> bytes:
-    return np.stack([places.real, places.imag], 1).astype("<f4").tobytes() + np.ascontiguousarray(words, "<u8").tobytes()
+    xy = np.clip(np.rint(np.stack([places.real, places.imag], 1) * 8), -32768, 32767)
+    return xy.astype("<i2").tobytes() + np.ascontiguousarray(words, "<u8").tobytes()
 
 
 def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(data) // 40
+    n = len(data) // PACKED
     if not n:
         return np.zeros(0, complex), np.zeros((0, 4), np.uint64)
-    p = np.frombuffer(data, "<f4", 2 * n).reshape(n, 2)
-    return p[:, 0] + 1j * p[:, 1], np.frombuffer(data, "<u8", 4 * n, 8 * n).reshape(n, 4)
+    p = np.frombuffer(data, "<i2", 2 * n).reshape(n, 2) / 8
+    return p[:, 0] + 1j * p[:, 1], np.frombuffer(data, "<u8", 4 * n, 4 * n).reshape(n, 4)
 
 
 def agreeing(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> int:

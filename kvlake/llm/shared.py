@@ -6,6 +6,7 @@ folder of this machine made and set; a cluster always names its own.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -45,6 +46,12 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of what has been written and is no longer referred to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextmanager
 def batches_of(spark: SparkSession, rows: int):
     """Arrow batches of so many rows while a job over long texts runs: a batch's bytes bound a Python worker's memory."""
