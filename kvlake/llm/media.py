@@ -1,12 +1,16 @@
 """Edited and cropped copies in a column of pictures, by local descriptors.
 
 Equal pixels are one node from the start. A node's descriptors have keys in several Hamming tables; nodes
-that share keys are candidates, and a geometric consensus decides. A bucket never makes its pairs: each
-node meets one node of its bucket, the first in an order that changes from round to round, unless both
-are in one component by then. Keys that a few pictures share bring those together; a key that thousands
-share, a common corner or a large group of copies, costs as many meetings as it has nodes.
+that share enough keys are candidates, and a geometric consensus decides. Two passes find the links:
 
-Keys and meetings are an approximate index over all rows. Nothing is capped; the index's recall is
+* Rounds of meetings join what is large: each node meets one node of its bucket, the first in an order
+  that changes from round to round, unless both are in one component by then. A key that thousands share,
+  a common corner or a large group of copies, costs as many meetings as it has nodes.
+* Then nodes are dealt into tiles and tile meets tile: every pair of two components that shares enough keys
+  is compared, unless links found on the way already join it. A tile pair returns a spanning forest.
+  Its work grows with the square of the nodes that share common keys, its exchange with nodes times tiles.
+
+So no candidate goes uncompared; what is approximate is the index that makes candidates, whose recall is
 measured against comparing all pairs. Defined results:
 * null, empty or unreadable media: no link, a component of its own; pictures without enough corners link by equal pixels only
 * repeated rows count alike; null ids stay and name no component, one of null ids alone is null
@@ -30,6 +34,8 @@ from .shared import batches_of, release, written
 BATCH, VOTES = 64, 3
 #: Rounds of meetings.
 ROUNDS = 2
+#: Nodes that a tile holds at most on average, tiles at least, and candidate votes that are counted at once.
+TILE, TILES, EVENTS = 8192, 6, 1 << 20
 
 
 def descriptors(media: DataFrame, *, id_col: str = "id", media_col: str = "media") -> DataFrame:
@@ -85,8 +91,108 @@ def _rooted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("_root", "node")).drop("_root")
 
 
+def _crowded(root: np.ndarray, corners: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys that nodes of two components have, and those nodes' positions, ordered by key and component. A part of the keys at a time, which bounds what is sorted at once."""
+    keys = [pictures.keys(pictures.unpack(x)[1]) for x in corners]
+    key, who = np.concatenate([np.zeros(0, np.int64), *keys]), np.repeat(np.arange(len(keys), dtype=np.int32), [len(k) for k in keys])
+    del keys
+    out = []
+    for part in range(8):
+        at = np.flatnonzero(key & 7 == part)
+        at = at[np.lexsort((root[who[at]], key[at]))]
+        k, w = key[at], who[at]
+        if not len(k):
+            continue
+        first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+        last = np.r_[first[1:], len(k)] - 1
+        two = np.repeat(root[w[first]] != root[w[last]], last - first + 1)
+        out.append((k[two], w[two]))
+    return tuple(np.concatenate([np.zeros(0, t), *x]) for t, x in zip((np.int64, np.int32), zip(*out) if out else ((), ()), strict=True))
+
+
+def _forest(tile: np.ndarray, root: np.ndarray, corners: list[bytes]) -> list[tuple[int, int]]:
+    """Positions of linked pairs that span what is linked between two tiles, or inside one where there is only one."""
+    key, who = _crowded(root, corners)
+    if not len(key):
+        return []
+    fresh = np.r_[True, key[1:] != key[:-1]]
+    other = fresh | np.r_[True, root[who[1:]] != root[who[:-1]]]
+    del key
+
+    def ends(starts: np.ndarray) -> np.ndarray:
+        first = np.flatnonzero(starts)
+        return np.r_[first[1:], len(starts)][np.cumsum(starts) - 1]
+
+    # an entry meets those of its bucket that stand after its own component
+    first, n = ends(other), ends(fresh)
+    n -= first
+    at = np.argsort(who, kind="stable")
+    at = at[n[at] > 0]
+    total = np.cumsum(n[at])
+    of_node = np.flatnonzero(np.r_[np.diff(who[at]) > 0, True]) + 1 if len(at) else at
+    lab = list(range(len(corners)))
+
+    def find(i: int) -> int:
+        while lab[i] != i:
+            lab[i] = i = lab[lab[i]]
+        return i
+
+    found, a, two = [], 0, tile.min() != tile.max()
+    while a < len(at):
+        # whole nodes only, since a pair's votes are counted together
+        before = total[a - 1] if a else 0
+        k = np.searchsorted(total[of_node - 1], before + EVENTS, "right")
+        b = max(int(of_node[max(k - 1, 0)]), int(of_node[np.searchsorted(of_node, a, "right")]))
+        part, times = at[a:b], n[at[a:b]]
+        step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        u, v = np.repeat(who[part].astype(np.int64), times), who[np.repeat(first[part], times) + step]
+        if two:
+            apart = tile[u] != tile[v]
+            u, v = u[apart], v[apart]
+        pair, votes = np.unique(u * len(corners) + v, return_counts=True)
+        for p in pair[votes >= VOTES].tolist():
+            i, j = divmod(p, len(corners))
+            x, y = find(i), find(j)
+            if x != y and pictures.linked(corners[i], corners[j]):
+                lab[max(x, y)] = min(x, y)
+                found.append((i, j))
+        a = b
+    return found
+
+
+def _rest(rooted: DataFrame) -> DataFrame:
+    """``rooted`` has node, root and corners. Edges between components, of all pairs with enough keys in common."""
+    k = max(TILES, -(-rooted.count() // TILE))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+            t = pa.Table.from_batches(rows)
+            node, root, tile = (t.column(c).to_numpy() for c in ("node", "root", "t"))
+            found = np.array(_forest(tile, root, t.column("corners").to_pylist()), np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(node[found[:, 0]]), pa.array(node[found[:, 1]])], ["u", "v"])
+
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            g = b.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(g)) + 1).tolist(), len(g)]
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                if x == y:
+                    continue
+                if held and held[0].column(0)[0].as_py() != g[x]:
+                    yield done(held)
+                    held = []
+                held.append(b.slice(x, y - x))
+        if held:
+            yield done(held)
+
+    tiled = rooted.select("node", "root", "corners", F.pmod(F.xxhash64("node"), F.lit(k)).alias("t"))
+    tiled = tiled.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    tiled = tiled.select((F.least("t", F.col("o").cast("long")) * k + F.greatest("t", F.col("o").cast("long"))).alias("g"), "t", "node", "root", "corners")
+    return tiled.repartition("g").sortWithinPartitions("g").mapInArrow(of, "u long, v long")
+
+
 def links(nodes: DataFrame) -> DataFrame:
-    """``nodes`` has node and corners. Edges u, v of verified pairs."""
+    """``nodes`` has node and corners. Edges u, v of verified pairs, which span all that is linked among candidates."""
     spark = nodes.sparkSession
     rooted, edges = nodes.withColumn("root", F.col("node")), None
     for r in range(ROUNDS):
@@ -99,9 +205,11 @@ def links(nodes: DataFrame) -> DataFrame:
         edges = found if edges is None else edges.unionByName(found)
         del keyed, first, buckets, met, votes, found
         release(spark)
-        if r + 1 < ROUNDS:
-            rooted = written(_rooted(nodes, edges), "media-rooted")
-            release(spark)
+        rooted = written(_rooted(nodes, edges), "media-rooted")
+        release(spark)
+    edges = edges.unionByName(written(_rest(rooted), "media-links"))
+    del rooted
+    release(spark)
     return edges
 
 

@@ -97,3 +97,25 @@ def test_odd_inputs(spark):
 @pytest.mark.parametrize("n", [0, 3])
 def test_keys_of_few(n):
     assert len(pictures.keys(np.zeros((n, 4), np.uint64))) == (pictures.TABLES if n else 0)
+
+
+def test_linked_pairs_in_buckets_led_by_strangers(spark):
+    """Forty pictures share every descriptor, and so every bucket; only twos of them have the corners in the same places."""
+    rng = np.random.default_rng(3)
+    words = rng.integers(0, 2**64, (12, 4), np.uint64)
+    places = [rng.uniform(0, 90, 12) + 1j * rng.uniform(0, 90, 12) for _ in range(20)]
+    packed = [pictures.pack(places[i // 2], words) for i in range(40)]
+    truth = {(i, j) for i in range(40) for j in range(i + 1, 40) if pictures.linked(packed[i], packed[j])}
+    assert truth == {(i, i + 1) for i in range(0, 40, 2)}
+    df = spark.createDataFrame(list(enumerate(packed)), "node long, corners binary")
+    assert {(min(r), max(r)) for r in media.links(df).collect()} == truth
+
+
+def test_votes_counted_in_parts(monkeypatch):
+    """Many small parts find what one finds, and a component's own pairs are not made."""
+    packed = [pictures.pack(*pictures.describe(media_samples.picture(i)[None])[0]) for i in range(4, 20)]
+    tile, root = np.zeros(16, np.int64), np.arange(16)
+    whole = media._forest(tile, root, packed)
+    monkeypatch.setattr(media, "EVENTS", 1)
+    assert media._forest(tile, root, packed) == whole and len(whole) > 8
+    assert media._forest(tile, root * 0, packed) == []
