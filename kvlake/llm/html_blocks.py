@@ -13,6 +13,8 @@ UNSEEN = frozenset("script style noscript template svg head title select textare
 #: Those of them whose content holds no tags.
 RAW = frozenset("script style noscript title textarea iframe".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: What can stand in a head; anything else, or text, ends an open one.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 #: Opening one of these ends an open paragraph.
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 #: Opening one ends an open sibling of the kinds that follow.
@@ -102,6 +104,8 @@ def blocks(page: str | None) -> list[Block]:
 
     def say(raw: str) -> None:
         nonlocal linked, place, path
+        if stack[-1][0] == "head" and raw.strip():
+            close("head")
         top = stack[-1]
         if top[3] or not raw:
             return
@@ -141,6 +145,8 @@ def blocks(page: str | None) -> list[Block]:
         if ending:
             close(name)
             continue
+        if name not in IN_HEAD and stack[-1][0] == "head":
+            close("head")
         if name in VOID:
             continue
         if name in ENDS_P and stack[-1][0] not in ("table", "td") and any(e[0] == "p" for e in stack[-6:]):

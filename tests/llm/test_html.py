@@ -30,6 +30,13 @@ def test_blocks():
     assert len(texts("<div>" * 3000 + "x")) == 1
 
 
+def test_head_without_its_end_tag():
+    head = "<html><head><meta charset=utf-8><title>no</title><style>p{}</style><template><p>no</p></template>"
+    for rest in ("<body><p>one</p>", "<p>one</p>", "<body class='x'>one", "<img src=a>one", "<b>one</b>", " one"):
+        assert texts(head + rest) == ["one"]
+    assert texts(head + "<link rel=a></head><body>one") == ["one"] and texts("<head><template><p>no") == []
+
+
 def test_decoding_is_the_best_of_all(field):
     page = blocks("<nav><a href='#'>a</a></nav><p>One two three four.</p><div class='ad'>Buy</div><p>Five six. Seven.</p><footer>&copy; x</footer>")
     emit = [sum(field.weights.get(x, 0) for x in f) for f in html_text.features(page)]
