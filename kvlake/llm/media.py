@@ -12,7 +12,8 @@ that share enough keys are candidates, and a geometric consensus decides. Two pa
 
 So no candidate goes uncompared; what is approximate is the index that makes candidates, whose recall is
 measured against comparing all pairs. Defined results:
-* null, empty or unreadable media: no link, a component of its own; pictures without enough corners link by equal pixels only
+* media files in formats that decode() does not read (JPEG, GIF, WebP, 16-bit or interlaced PNG, sound, film) link where their bytes are equal
+* null, empty or what does not begin like a media file: no link, a component of its own; pictures without enough corners link by equal pixels only
 * repeated rows count alike; null ids stay and name no component, one of null ids alone is null
 * empty table: no rows; columns of the input beside the named ones are not touched
 """
@@ -39,12 +40,13 @@ TILE, TILES, EVENTS = 8192, 6, 1 << 20
 
 
 def descriptors(media: DataFrame, *, id_col: str = "id", media_col: str = "media") -> DataFrame:
-    """id, digest (null for what is no picture) and corners (packed) for each row."""
+    """id, digest (of a media file that is not read, of its bytes; null for what is no media) and corners (packed) for each row."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seen = [pictures.decode(x.as_py()) for x in b.column(1)]
-            names = [None if x is None else pictures.digest(x) for x in seen]
+            raw = b.column(1).to_pylist()
+            seen = [pictures.decode(x) for x in raw]
+            names = [pictures.file_digest(y) if x is None else pictures.digest(x) for x, y in zip(seen, raw, strict=True)]
             found: dict[int, tuple] = {}
             by_shape: dict[tuple, list[int]] = {}
             for k, x in enumerate(seen):

@@ -43,6 +43,18 @@ def decode(data: bytes | None) -> np.ndarray | None:
         return None
 
 
+#: How files of media begin, read or not; others at a later place.
+_BEGINS = (b"\xff\xd8\xff", b"GIF8", b"\x89PNG\r\n\x1a\n", b"BM", b"II*\0", b"MM\0*", b"OggS", b"fLaC", b"ID3", b"\x1aE\xdf\xa3", b"\xff\x0a", b"\0\0\x01\0", *(b"P%d" % k for k in range(1, 8)))
+_LATER = ((b"RIFF", 0), (b"ftyp", 4), (b"JXL ", 4))
+
+
+def file_digest(data: bytes | None) -> bytes | None:
+    """Of the bytes of a media file that decode() does not read; None for what does not begin like one. It equals no picture's digest."""
+    if not data or not (data.startswith(_BEGINS) or any(data[at : at + 4] == x for x, at in _LATER)):
+        return None
+    return b"file" + hashlib.sha256(data).digest()
+
+
 def _grey(x: np.ndarray) -> np.ndarray:
     return x[..., 0] if x.shape[-1] < 3 else np.round(x[..., :3].astype(np.float32) @ np.array([0.299, 0.587, 0.114], np.float32)).astype(np.uint8)
 

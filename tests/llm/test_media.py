@@ -119,3 +119,11 @@ def test_votes_counted_in_parts(monkeypatch):
     monkeypatch.setattr(media, "EVENTS", 1)
     assert media._forest(tile, root, packed) == whole and len(whole) > 8
     assert media._forest(tile, root * 0, packed) == []
+
+
+def test_files_that_are_not_read(spark):
+    """Equal bytes of a media file are one component, whether or not its format is read."""
+    jpeg, film = b"\xff\xd8\xff\xe0" + b"a" * 50, b"\0\0\0\x18ftypmp42" + b"b" * 50
+    rows = [(1, jpeg), (2, jpeg), (3, jpeg + b"c"), (4, film), (5, film), (6, b"GIF89a" + b"d"), (7, b"GIF89a" + b"e"), (None, jpeg)]
+    got = Counter((r.id, r.component_id, r.kept) for r in media.copies(spark.createDataFrame(rows, "id long, media binary")).collect())
+    assert got == Counter([(1, 1, True), (2, 1, False), (3, 3, True), (4, 4, True), (5, 4, False), (6, 6, True), (7, 7, True), (None, 1, True)])
