@@ -146,6 +146,41 @@ def fnv1a32(key: Column) -> Column:
     return F.aggregate(codes, F.lit(2166136261).cast("long"), lambda h, b: (h.bitwiseXOR(b) * F.lit(16777619).cast("long")) % F.lit(4294967296))
 
 
+def fnv1a64(key: Column) -> Column:
+    """FNV-1a over the UTF-8 bytes in 64 bits, as a signed long.
+
+    The hash is kept as two halves, so that no product passes 64 bits: the prime is 2^40 + 435, which
+    moves the low half up by 8 bits into the high one and adds 435 times both.
+    """
+    codes = F.transform(F.sequence(F.lit(1), F.octet_length(key)), lambda i: F.conv(F.substring(F.hex(F.encode(key, "UTF-8")), i * 2 - 1, F.lit(2)), 16, 10).cast("long"))
+    codes = F.when(F.octet_length(key) > 0, codes).otherwise(F.array().cast("array<long>"))
+    low32 = F.lit(0xFFFFFFFF)
+
+    def step(h: Column, b: Column) -> Column:
+        low = h["low"].bitwiseXOR(b)
+        product = low * 435
+        high = (h["high"] * 435 + F.shiftright(product, 32) + F.shiftleft(low, 8)).bitwiseAND(low32)
+        return F.struct(high.alias("high"), product.bitwiseAND(low32).alias("low"))
+
+    start = F.struct(F.lit(0xCBF29CE4).cast("long").alias("high"), F.lit(0x84222325).cast("long").alias("low"))
+    return F.aggregate(codes, start, step, lambda h: F.shiftleft(h["high"], 32).bitwiseOR(h["low"]))
+
+
+def block_id(first: Column, last: Column) -> Column:
+    """A block's name in a cache: the hash of its bounds."""
+    return fnv1a64(F.concat(first, last))
+
+
+def record_json(value: Column, lat: Column, expiry: Column, state: Column) -> Column:
+    """A record as a JSON object."""
+    return F.to_json(F.struct(value.alias("value"), lat.alias("lat"), expiry.alias("expiry"), state.alias("state")))
+
+
+def record_of(text: Column, kind: T.DataType) -> Column:
+    """The record that a JSON object holds; null for anything else."""
+    return F.from_json(text, f"value {kind.simpleString()}, lat long, expiry long, state tinyint")
+
+
 def shard_of(key: Column, shards: int = SHARDS) -> Column:
     return (fnv1a32(key) % shards).cast("int")
 

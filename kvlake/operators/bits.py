@@ -22,6 +22,32 @@ def bitset(rows: DataFrame, position: Column, group: list[str] = ()) -> DataFram
     return placed.groupBy(*group, "word").agg(F.bit_or("bit").alias("bits"))
 
 
+def checked(positions: DataFrame, size: int, position: str = "position") -> DataFrame:
+    """The same rows; raises where a position is outside a set of ``size`` bits."""
+    wrong = positions.filter((F.col(position) < 0) | (F.col(position) >= size)).limit(1).collect()
+    if wrong:
+        raise ValueError(f"position {wrong[0][position]} is outside 0..{size - 1}")
+    return positions
+
+
+def serialized(bits: DataFrame, group: list[str] = ()) -> DataFrame:
+    """One binary value for each group: 16 bytes for each word that has a bit, its number and its bits. For sets that fit a row."""
+    words = F.array_sort(F.collect_list(F.struct("word", "bits")))
+    text = F.array_join(F.transform(words, lambda w: F.concat(F.lpad(F.hex(w["word"]), 16, "0"), F.lpad(F.hex(w["bits"]), 16, "0"))), "")
+    return bits.groupBy(*group).agg(F.unhex(text).alias("data"))
+
+
+def deserialized(data: DataFrame, group: list[str] = ()) -> DataFrame:
+    number = lambda at: F.conv(F.hex(F.substring("data", at, F.lit(8))), 16, -10).cast("long")
+    each = data.filter(F.octet_length("data") > 0).select(*group, "data", F.explode(F.expr("sequence(0, octet_length(data) div 16 - 1)")).alias("_k"))
+    return each.select(*group, number(F.col("_k") * 16 + 1).alias("word"), number(F.col("_k") * 16 + 9).alias("bits"))
+
+
+def memory(size: int) -> int:
+    """Bytes of a set of so many bits."""
+    return -(-size // 64) * 8
+
+
 def union(a: DataFrame, b: DataFrame) -> DataFrame:
     keys = [c for c in a.columns if c != "bits"]
     return a.unionByName(b).groupBy(*keys).agg(F.bit_or("bits").alias("bits"))

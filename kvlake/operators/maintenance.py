@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import live, overflown, shard_of
 from ..model import BLOCK_BYTES, EXPIRE_BATCH, RUNS_PER_LEVEL
+from .ranges import bytes_ahead, last_at_or_before, meeting, packed
 from .resolve import newest
 
 
@@ -23,8 +24,8 @@ def run_metadata(rows: DataFrame, run: str = "run_id", size: Column | None = Non
 
 def overlapping(a: DataFrame, b: DataFrame, run: str = "run_id") -> DataFrame:
     """Pairs of runs of two manifests whose key ranges meet; manifests have a row for each run, not for each record."""
-    x, y = a.select(F.col(run).alias("run_a"), F.col("first_key").alias("fa"), F.col("last_key").alias("la")), b.select(F.col(run).alias("run_b"), F.col("first_key").alias("fb"), F.col("last_key").alias("lb"))
-    return x.join(y, (F.col("la") >= F.col("fb")) & (F.col("lb") >= F.col("fa"))).select("run_a", "run_b")
+    side = lambda m: m.select(F.col(run).alias("id"), F.col("first_key").alias("lo"), F.col("last_key").alias("hi"))
+    return meeting(side(a), side(b)).select(F.col("a").alias("run_a"), F.col("b").alias("run_b"))
 
 
 def levels_to_compact(manifest: DataFrame, threshold: int = RUNS_PER_LEVEL) -> DataFrame:
@@ -38,8 +39,8 @@ def runs_newest_first(names: DataFrame, name: str = "name") -> DataFrame:
 
 def assign_batches(rows: DataFrame, size: Column, limit: int, by: list[str], partition: list[str], name: str) -> DataFrame:
     """Numbers the batches that a byte limit makes of each partition's rows, in order: the whole limits in the bytes ahead."""
-    w = Window.partitionBy(*partition).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("_size", size.cast("long")).withColumn(name, F.floor(F.coalesce(F.sum("_size").over(w), F.lit(0)) / F.lit(limit)).cast("long"))
+    sized = bytes_ahead(rows.withColumn("_size", size.cast("long")), "_size", by, partition)
+    return sized.withColumn(name, F.floor(F.col("_ahead") / F.lit(limit)).cast("long")).drop("_ahead")
 
 
 def freeze_batches(rows: DataFrame, size: Column, limit: int, by: list[str], shard: Column | None = None) -> DataFrame:
@@ -55,22 +56,14 @@ def block_stats(rows: DataFrame, size: Column, run: str, by: list[str], limit: i
 
 
 def greedy_blocks(rows: DataFrame, size: Column, run: str, by: list[str], limit: int) -> DataFrame:
-    """Blocks as a writer packs them: a record that does not fit opens the next block. In sequence within a run, as a fold over its sizes."""
-    items = F.array_sort(F.collect_list(F.struct(*by, size.cast("long").alias("_size"))))
-    start = F.struct(F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("of"))
-
-    def step(s: Column, x: Column) -> Column:
-        full = (s["used"] > 0) & (s["used"] + x["_size"] > limit)
-        block = F.when(full, s["block"] + 1).otherwise(s["block"])
-        return F.struct(block.alias("block"), F.when(full, x["_size"]).otherwise(s["used"] + x["_size"]).alias("used"), F.concat(s["of"], F.array(block)).alias("of"))
-
-    packed = rows.groupBy(run).agg(items.alias("items")).withColumn("of", F.aggregate("items", start, step)["of"])
-    return packed.select(run, F.explode(F.arrays_zip("items", "of")).alias("x")).select(run, *[F.col("x.items")[c].alias(c) for c in by], F.col("x.of").alias("block"), F.col("x.items")["_size"].alias("bytes"))
+    """Blocks as a writer packs them: a record that does not fit opens the next block."""
+    return packed(rows, size, run, by, limit)
 
 
 def find_blocks(index: DataFrame, keys: DataFrame) -> DataFrame:
-    """The block whose range holds each key, or none."""
-    return keys.join(index, (F.col("key") >= F.col("first_key")) & (F.col("key") <= F.col("last_key")))
+    """The block of a sorted run whose range holds each key: of the last block that begins at or before the key, if the key is not beyond its end. Keys in no block have no row."""
+    found = last_at_or_before(index, "first_key", keys, "key").filter(F.col("key") <= F.col("entry.last_key"))
+    return found.select(*keys.columns, *[F.col("entry")[c].alias(c) for c in index.columns])
 
 
 def expire_sample(state: DataFrame, shard: int, now, limit: int = EXPIRE_BATCH) -> DataFrame:
@@ -78,6 +71,23 @@ def expire_sample(state: DataFrame, shard: int, now, limit: int = EXPIRE_BATCH)
     return state.filter((shard_of(F.col("key")) == shard) & (F.col("expiry") < F.lit(now))).orderBy("key").limit(limit).select("key")
 
 
+def expire_shard(state: DataFrame, shard: int, now, limit: int = EXPIRE_BATCH) -> tuple[DataFrame, DataFrame]:
+    """One visit of the expiry worker: the state without the sample's keys, and the keys that went."""
+    gone = expire_sample(state, shard, now, limit)
+    return state.join(gone, "key", "left_anti"), gone
+
+
+def expire_rounds(state: DataFrame, now, limit: int = EXPIRE_BATCH) -> DataFrame:
+    """The visits that the worker makes when it goes on for as long as it deletes: shard, key and round (from 0) of each expired key.
+
+    Rounds of a shard take its expired keys in order, ``limit`` each; what is left after the last one is
+    ``state`` without these keys.
+    """
+    dead = state.filter(F.col("expiry") < F.lit(now)).select(shard_of(F.col("key")).alias("shard"), "key", F.lit(1).alias("_one"))
+    placed = bytes_ahead(dead, "_one", ["key"], ["shard"])
+    return placed.select("shard", "key", F.floor(F.col("_ahead") / F.lit(limit)).cast("long").alias("round"))
+
+
 def lru_plan(state: DataFrame, size: Column, allowed: int, shards: int = 64) -> DataFrame:
     """Which records stay when the most recently used are kept up to a byte limit: adds bytes, bytes_ahead and keep.
 

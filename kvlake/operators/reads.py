@@ -61,6 +61,13 @@ def range_scan(state: DataFrame, first: str, last: str, now) -> DataFrame:
     return state.filter(F.col("key").between(first, last) & live(F.col("expiry"), F.col("state"), now)).orderBy("key")
 
 
+def as_view(state: DataFrame, name: str, now) -> DataFrame:
+    """Registers the live records as a view for SQL."""
+    alive = state.filter(live(F.col("expiry"), F.col("state"), now))
+    alive.createOrReplaceTempView(name)
+    return alive
+
+
 def as_of(versions: DataFrame, at, order: list[str] | None = None) -> DataFrame:
     """The newest version of each key at a time."""
     return newest(versions.filter(F.col("ts") <= F.lit(at)), order or ["seq"])

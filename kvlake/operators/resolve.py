@@ -7,7 +7,7 @@ crosses the network, whatever the history's length.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import live
@@ -81,5 +81,25 @@ def fold(log: DataFrame) -> DataFrame:
     return done.select("key", "s.live", "s.num", "s.txt", "s.expiry", "s.code", "s.data")
 
 
+def responses(log: DataFrame) -> DataFrame:
+    """The response to every command of a log: key, seq, op, live, num, txt, expiry (of the record after it), code and data.
+
+    A SET or DELETE doesn't look at what came before, so a key's commands are cut there and each piece
+    is folded on its own.
+    """
+    blind = F.when(F.col("op").isin("SET", "DELETE"), 1).otherwise(0)
+    w = Window.partitionBy("key").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    pieces = log.withColumn("_piece", F.sum(blind).over(w))
+    steps = F.array_sort(F.collect_list(F.struct("seq", "ts", "op", F.col("num").cast("long").alias("num"), "txt", F.col("ttl").cast("long").alias("ttl"))))
+    start = F.struct(_start().alias("s"), F.expr(f"cast(array() as array<{_STATE}>)").alias("all"))
+
+    def step(a: Column, x: Column) -> Column:
+        return F.transform(F.array(_step(a["s"], x)), lambda s: F.struct(s.alias("s"), F.concat(a["all"], F.array(s)).alias("all")))[0]
+
+    done = pieces.groupBy("key", "_piece").agg(steps.alias("steps")).select("key", "steps", F.aggregate("steps", start, step)["all"].alias("all"))
+    each = done.select("key", F.explode(F.arrays_zip("steps", "all")).alias("x"))
+    return each.select("key", "x.steps.seq", "x.steps.op", *[F.col("x.all")[c].alias(c) for c in ("live", "num", "txt", "expiry", "code", "data")])
+
+
 def live_after(log: DataFrame, now) -> DataFrame:
     return fold(log).filter(F.col("live") & ~((F.col("expiry") != 0) & (F.lit(now) > F.col("expiry")))).select("key", "num", "txt", "expiry")

@@ -1,9 +1,9 @@
 """Exact nearest neighbours by cosine, negative Euclidean distance or dot product.
 
 A vector table has a unique id and an array. One query is scored by built-in expressions and kept by
-a top-k that never sorts the table. A batch of queries is scored block by block in numpy: every task
-holds the query matrix, whose size is checked, and keeps k rows a query, so that k rows a query and
-task reach the final top-k.
+a top-k that never sorts the table. A batch of queries is scored in tiles in numpy: every task holds
+the query matrix, whose size is checked, scores some queries against some vectors at a time and keeps
+k rows a query, so that k rows a query and task reach the final top-k.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from ..functions.vectors import METRICS, vector_literal
 
 #: Bytes of query vectors that one pass carries to the tasks; more queries go in several passes.
 QUERY_BYTES = 64 << 20
+#: Queries and vectors of a tile of scores.
+TILE_QUERIES, TILE_ROWS = 1024, 2048
 
 
 def check_index(vectors: DataFrame, id_col: str = "id") -> None:
@@ -61,18 +63,20 @@ def batch_knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cos
 
         def top(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             names, q = sent.value
-            best_id, best = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0))
+            best_id, best = np.zeros((len(q), k), np.int64), np.full((len(q), k), -np.inf)
             for b in batches:
-                if not b.num_rows or not len(q):
-                    continue
                 ids = b.column(0).to_numpy()
-                x = b.column(1).flatten().to_numpy().astype(np.float64).reshape(len(ids), -1)
-                s = _scores(x, q, metric)
-                if exclude_self:
-                    s[names[:, None] == ids[None, :]] = -np.inf
-                best, best_id = np.concatenate([best, s], 1), np.concatenate([best_id, np.broadcast_to(ids, s.shape)], 1)
-                order = np.lexsort((best_id, -best), axis=1)[:, :k]
-                best, best_id = np.take_along_axis(best, order, 1), np.take_along_axis(best_id, order, 1)
+                for lo in range(0, len(ids), TILE_ROWS):
+                    own = ids[lo : lo + TILE_ROWS]
+                    x = b.column(1).slice(lo, TILE_ROWS).flatten().to_numpy().astype(np.float64).reshape(len(own), -1)
+                    for at in range(0, len(q), TILE_QUERIES):
+                        part = slice(at, at + TILE_QUERIES)
+                        s = _scores(x, q[part], metric)
+                        if exclude_self:
+                            s[names[part, None] == own[None, :]] = -np.inf
+                        s, i = np.concatenate([best[part], s], 1), np.concatenate([best_id[part], np.broadcast_to(own, s.shape)], 1)
+                        order = np.lexsort((i, -s), axis=1)[:, :k]
+                        best[part], best_id[part] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
             keep = np.isfinite(best)
             yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(names[:, None], best.shape)[keep]), pa.array(best_id[keep]), pa.array(best[keep])], ["query", "id", "score"])
 

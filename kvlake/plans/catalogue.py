@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..functions import vectors as V
-from ..functions.murmur import partition_of
-from ..operators import bits, maintenance, reads, resolve, service, vector, writes
+from ..functions.murmur import C1, C2, F1, F2, PARTITION_SEED, partition_of
+from ..operators import bits, hnsw, maintenance, reads, resolve, service, vector, writes
 from ..sources import changelog
+from ..sources.files import scratch
+from ..sources.runs import RunStore
 from ..streaming import state as streams
 from .keyspaces import KL, KO, KT, LIVE, LOG_MID, LOG_NOW, NOW, RUN_NEWEST, RUN_ORDER, RUNS, epoch, fold_sql, kl, ko, kt, runs, table
 
@@ -39,13 +42,13 @@ money = lambda c: F.sum(F.col(c).cast("decimal(18,2)")).cast("double")  # noqa:
 
 
 def asked(spark, d):
-    """Keys of every 30th order and of as many that are absent."""
-    k = table(spark, d, "orders").filter("o_orderkey % 30 = 0").select(F.col("o_orderkey"))
+    """Every order's key, and as many that are absent."""
+    k = table(spark, d, "orders").select(F.col("o_orderkey"))
     here = k.select(F.concat(F.lit("o:"), F.col("o_orderkey").cast("string")).alias("key"))
     return here.unionByName(k.select(F.concat(F.lit("x:"), F.col("o_orderkey").cast("string")).alias("key")))
 
 
-ASKED = "asked AS (SELECT 'o:' || o_orderkey AS key FROM orders WHERE o_orderkey % 30 = 0 UNION ALL SELECT 'x:' || o_orderkey FROM orders WHERE o_orderkey % 30 = 0)"
+ASKED = "asked AS (SELECT 'o:' || o_orderkey AS key FROM orders UNION ALL SELECT 'x:' || o_orderkey FROM orders)"
 CODE = f"CASE WHEN k.key IS NULL OR k.state = 1 THEN 5001 WHEN k.expiry <> 0 AND {NOW} > k.expiry THEN 5002 ELSE 1000 END"
 
 
@@ -116,12 +119,12 @@ def kv_delete_tombstone(spark, d):
     return resolve.newest(log, ["seq"]).filter(~S.tombstoned(F.col("state"))).select("key", "seq", "op")
 
 
-@query(f"""WITH {KO}, n AS (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'o:' ELSE 'new:' END || o_orderkey AS key, o_totalprice + 1 AS value FROM orders WHERE o_orderkey % 5 = 0)
+@query(f"""WITH {KO}, n AS (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'o:' ELSE 'new:' END || o_orderkey AS key, o_totalprice + 1 AS value FROM orders)
 SELECT coalesce(n.key, ko.key) AS key, CASE WHEN n.key IS NOT NULL THEN n.value ELSE ko.value END AS value, CASE WHEN n.key IS NOT NULL THEN 4102444800 ELSE ko.expiry END AS expiry, CASE WHEN n.key IS NOT NULL THEN 0 ELSE ko.state END AS state
 FROM ko FULL JOIN n ON n.key = ko.key""")
 def kv_mset_upsert(spark, d):
     k = F.col("o_orderkey")
-    new = table(spark, d, "orders").filter(k % 5 == 0).select(F.concat(F.when(k % 2 == 0, "o:").otherwise("new:"), k.cast("string")).alias("key"), (F.col("o_totalprice") + 1).alias("value"))
+    new = table(spark, d, "orders").select(F.concat(F.when(k % 2 == 0, "o:").otherwise("new:"), k.cast("string")).alias("key"), (F.col("o_totalprice") + 1).alias("value"))
     return writes.mset(ko(spark, d).withColumn("state", F.col("state").cast("byte")), new).withColumn("state", F.col("state").cast("int"))
 
 
@@ -130,10 +133,10 @@ def kv_mdelete_anti(spark, d):
     return writes.mdelete(ko(spark, d), asked(spark, d)).select("key", "value")
 
 
-@query(f"""WITH {KO} SELECT key, CAST(CASE WHEN seq % 4 = 0 AND {LIVE} THEN CASE WHEN seq % 100 - 50 > 0 THEN {NOW} + seq % 100 - 50 ELSE 4102444800 END ELSE expiry END AS BIGINT) AS expiry FROM ko""")
+@query(f"""WITH {KO} SELECT key, CAST(CASE WHEN {LIVE} THEN CASE WHEN seq % 100 - 50 > 0 THEN {NOW} + seq % 100 - 50 ELSE 4102444800 END ELSE expiry END AS BIGINT) AS expiry FROM ko""")
 def kv_expire_rewrite(spark, d):
     state = ko(spark, d)
-    keys = state.filter("seq % 4 = 0").select("key", (F.col("seq") % 100 - 50).alias("ttl"))
+    keys = state.select("key", (F.col("seq") % 100 - 50).alias("ttl"))
     return writes.expire(state, keys, NOW).select("key", "expiry")
 
 
@@ -238,10 +241,10 @@ def lsm_greedy_blocks(spark, d):
 
 
 @query("""WITH b AS (SELECT o_orderkey // 500 AS block, min(o_orderkey) AS f, max(o_orderkey) AS l FROM orders GROUP BY 1)
-SELECT DISTINCT l_orderkey AS key, b.block FROM lineitem JOIN b ON l_orderkey BETWEEN f AND l WHERE l_orderkey % 97 = 0""")
+SELECT key, block FROM (SELECT DISTINCT l_orderkey AS key FROM lineitem) ASOF JOIN b ON key >= f WHERE key <= l""")
 def lsm_find_block(spark, d):
     index = table(spark, d, "orders").groupBy(F.floor(F.col("o_orderkey") / 500).cast("long").alias("block")).agg(F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key"))
-    keys = table(spark, d, "lineitem").filter("l_orderkey % 97 = 0").select(F.col("l_orderkey").alias("key")).distinct()
+    keys = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key")).distinct()
     return maintenance.find_blocks(index, keys).select("key", "block")
 
 
@@ -253,12 +256,80 @@ def lsm_runs_newest_first(spark, d):
 
 @query(f"WITH {KO} SELECT key, value, expiry FROM ko WHERE expiry >= {NOW}")
 def snapshot_live(spark, d):
-    return ko(spark, d).filter(F.col("expiry") >= NOW).select("key", "value", "expiry")
+    """A snapshot, written and read."""
+    path = scratch(spark, "snapshot")
+    changelog.snapshot(ko(spark, d), path, NOW)
+    return changelog.snapshot_rows(spark, path).select("key", "value", "expiry")
 
 
 @query(f"WITH {KO} SELECT key, value, expiry FROM ko WHERE expiry > {NOW}")
 def restore_live(spark, d):
-    return ko(spark, d).filter(F.col("expiry") > NOW).select("key", "value", "expiry")
+    path = scratch(spark, "snapshot")
+    changelog.snapshot(ko(spark, d), path, NOW)
+    return changelog.restore(spark, path, NOW).select("key", "value", "expiry")
+
+
+@query(f"WITH {KO} SELECT count(*) AS count, 201 AS code FROM ko WHERE expiry >= {NOW}")
+def snapshot_command(spark, d):
+    return service.Keyspace(ko(spark, d), scratch(spark, "snapshot")).run("SNAPSHOT", [], NOW).select("count", "code")
+
+
+def _log_records(spark, d):
+    """The last SET or DELETE of each key as logged records come: a version of the record for each."""
+    log = kl(spark, d).filter(F.col("op").isin("SET", "DELETE"))
+    return log.select("key", F.col("num").cast("string").alias("value"), S.expiry_of(F.col("ttl"), F.col("ts")).alias("expiry"), (F.col("op") == "DELETE").cast("tinyint").alias("state"), "seq", "ts")
+
+
+LOGGED = "w AS (SELECT key, CAST(num AS VARCHAR) AS value, CAST(CASE WHEN ttl > 0 THEN ts + ttl ELSE 4102444800 END AS BIGINT) AS expiry, CASE WHEN op = 'DELETE' THEN 1 ELSE 0 END AS state, seq, ts FROM kl WHERE op IN ('SET', 'DELETE'))"
+
+
+@query(f"""WITH {KL}, {LOGGED}, o AS (SELECT * FROM w WHERE ts <= {LOG_MID} QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1),
+u AS (SELECT key, value, expiry, state, -1 AS seq FROM o WHERE expiry > {LOG_MID} UNION ALL SELECT key, value, expiry, state, seq FROM w WHERE ts > {LOG_MID} AND expiry >= {LOG_MID})
+SELECT key, value, expiry, state FROM u QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1""")
+def lsm_log_restore(spark, d):
+    """A snapshot at half time and a log in two segments after it, all written, then read back and replayed."""
+    versions, path = _log_records(spark, d), scratch(spark, "restore")
+    old = resolve.newest(versions.filter(F.col("ts") <= LOG_MID), ["seq"])
+    changelog.snapshot(old.select("key", "value", "expiry", "state"), f"{path}/snapshots", LOG_MID)
+    later = versions.filter(F.col("ts") > LOG_MID).select("key", "value", "expiry", "state", "seq")
+    changelog.append_log(later.filter("state = 0"), f"{path}/log")
+    changelog.rotate_log(spark, f"{path}/log")
+    changelog.append_log(later.filter("state = 1"), f"{path}/log")
+    entries = changelog.read_log(spark, f"{path}/log", "key string, value string, expiry long, state tinyint, seq long")
+    return changelog.restore_and_replay(spark, f"{path}/snapshots", entries, LOG_MID).withColumn("state", F.col("state").cast("int"))
+
+
+def _store(spark, d):
+    """A store with a run for each year of RUNS, the oldest first."""
+    store = RunStore(spark, scratch(spark, "runs"))
+    years = [r.run_id for r in runs(spark, d).select("run_id").distinct().orderBy("run_id").collect()]
+    for y in years:
+        one = resolve.newest(runs(spark, d).filter(F.col("run_id") == y), RUN_ORDER)
+        store.flush(one.select("key", "value", "expiry", F.col("state").cast("tinyint").alias("state")), NOW)
+    return store
+
+
+@query(f"WITH {RUNS}, n AS (SELECT * FROM runs {RUN_NEWEST}) SELECT key, value FROM n WHERE {LIVE}")
+def lsm_store_state(spark, d):
+    """Runs written and read back: the newest version over all of them."""
+    return _store(spark, d).state(NOW).select("key", "value")
+
+
+@query(f"WITH {RUNS}, n AS (SELECT * FROM runs {RUN_NEWEST}) SELECT key, value FROM n WHERE {LIVE} AND key = (SELECT min(key) FROM n WHERE {LIVE})")
+def lsm_store_get(spark, d):
+    store = _store(spark, d)
+    first = resolve.newest(runs(spark, d), RUN_ORDER).filter(S.live(F.col("expiry"), F.col("state"), NOW)).agg(F.min("key").alias("key")).first().key
+    return store.get(first, NOW).select("key", "value")
+
+
+@query(f"""WITH {RUNS}, n AS (SELECT * FROM runs {RUN_NEWEST}), l AS (SELECT * FROM n WHERE {LIVE})
+SELECT 1 AS level, count(*) AS num_records, min(key) AS first_key, max(key) AS last_key, CAST(sum(value) AS DECIMAL(38, 2))::VARCHAR AS total FROM (SELECT key, CAST(value AS DECIMAL(18, 2)) AS value FROM l)""")
+def lsm_store_compact(spark, d):
+    """All runs of the top level into one of the next, by the store; its manifest row and the sum of what it holds."""
+    store = _store(spark, d)
+    new = store.compact(0, NOW)
+    total = store.read(new).agg(F.sum(F.col("value").cast("decimal(18,2)")).cast("string").alias("total"))
+    return store.manifest().select("level", "num_records", "first_key", "last_key").join(F.broadcast(total), F.lit(True))
 
 
 # Expiry and eviction
@@ -269,6 +340,16 @@ def expire_shard_sample(spark, d):
     return maintenance.expire_sample(ko(spark, d), 7, NOW)
 
 
+@query(f"WITH {KO} SELECT key, value FROM ko WHERE key NOT IN (SELECT key FROM ko WHERE {FNV.format(k='key')} % 64 = 7 AND expiry < {NOW} ORDER BY key LIMIT 1000)")
+def expire_shard_remaining(spark, d):
+    return maintenance.expire_shard(ko(spark, d), 7, NOW)[0].select("key", "value")
+
+
+@query(f"WITH {KO}, e AS (SELECT key, {FNV.format(k='key')} % 64 AS shard FROM ko WHERE expiry < {NOW}) SELECT CAST(shard AS INTEGER) AS shard, key, CAST((row_number() OVER (PARTITION BY shard ORDER BY key) - 1) // 100 AS BIGINT) AS round FROM e")
+def expire_rounds(spark, d):
+    return maintenance.expire_rounds(ko(spark, d), NOW, limit=100)
+
+
 @query(f"""WITH {KO}, k AS (SELECT key, lat, octet_length(encode(key)) + 24 AS bytes, coalesce(sum(octet_length(encode(key)) + 24) OVER (ORDER BY lat DESC, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM ko)
 SELECT key, CAST(bytes AS BIGINT) AS bytes, CAST(ahead AS BIGINT) AS bytes_ahead, ahead + bytes <= 100000 AS keep FROM k""")
 def evict_lru_plan(spark, d):
@@ -292,11 +373,45 @@ def hash_fnv_shards(spark, d):
     return table(spark, d, "documents").select("doc_id", S.fnv1a32(k).alias("fnv"), S.shard_of(k).alias("shard"))
 
 
-@query()
+U64 = "CAST(18446744073709551616 AS UHUGEINT)"
+U = lambda n: f"CAST({n} AS UHUGEINT)"
+_times = lambda x, n: f"((({x}) * {U(n)}) % {U64})"
+_turned = lambda x, r: f"(((({x}) * {U(1 << r)}) % {U64}) + (({x}) // {U(1 << (64 - r))}))"
+_lane = lambda w, a, r, b: _times(_turned(_times(w, a), r), b)
+_bytes = lambda lo, hi: f"list_reduce(list_prepend({U(0)}, list_transform(range({hi}, {lo}, -1), lambda i: CAST(ascii(substr(key, i, 1)) AS UHUGEINT))), lambda a, b: a * {U(256)} + b)"
+#: The hash in SQL, one step a column, for the ASCII keys of fewer than 16 bytes that orders have.
+MURMUR = f"""b AS (SELECT key, CAST(length(key) AS BIGINT) AS n FROM ko),
+m0 AS (SELECT key, n, {_bytes("0", "least(n, 8)")} AS low, {_bytes("8", "n")} AS high FROM b),
+m1 AS (SELECT key, n, low, CASE WHEN n > 8 THEN xor({U(PARTITION_SEED)}, {_lane("high", int(C2), 33, int(C1))}) ELSE {U(PARTITION_SEED)} END AS h FROM m0),
+m2 AS (SELECT key, xor(xor(h, {_lane("low", int(C1), 31, int(C2))}), CAST(n AS UHUGEINT)) AS h FROM m1),
+m3 AS (SELECT key, {_times(f"xor(h, h // {U(1 << 33)})", int(F1))} AS h FROM m2),
+m4 AS (SELECT key, {_times(f"xor(h, h // {U(1 << 33)})", int(F2))} AS h FROM m3)"""
+
+
+@query(f"WITH {KO}, {MURMUR} SELECT key, CAST(xor(h, h // {U(1 << 33)}) % {U(4096)} AS INTEGER) AS partition FROM m4")
 def hash_partition_4096(spark, d):
     return ko(spark, d).select("key", partition_of(F.col("key")).alias("partition"))
 
 
+FNV64 = f"list_reduce(list_prepend({U(14695981039346656037)}, list_transform(range(1, CAST(length(name) AS BIGINT) + 1), lambda i: CAST(ascii(substr(name, i, 1)) AS UHUGEINT))), lambda h, b: (xor(h, b) * {U(1099511628211)}) % {U64})"
+
+
+@query(f"""WITH b AS (SELECT o_orderkey // 500 AS block, min(o_orderkey) AS f, max(o_orderkey) AS l FROM orders GROUP BY 1), h AS (SELECT block, {FNV64} AS h FROM (SELECT block, 'o:' || f || 'o:' || l AS name FROM b))
+SELECT CAST(block AS BIGINT) AS block, CAST(CASE WHEN h >= {U(2**63)} THEN CAST(h AS HUGEINT) - CAST(18446744073709551616 AS HUGEINT) ELSE CAST(h AS HUGEINT) END AS BIGINT) AS id, CAST(h % {U(64)} AS INTEGER) AS cache_shard FROM h""")
+def hash_block_ids(spark, d):
+    b = table(spark, d, "orders").groupBy(F.floor(F.col("o_orderkey") / 500).cast("long").alias("block")).agg(F.min("o_orderkey").alias("f"), F.max("o_orderkey").alias("l"))
+    name = lambda c: F.concat(F.lit("o:"), F.col(c).cast("string"))
+    return b.select("block", S.block_id(name("f"), name("l")).alias("id")).withColumn("cache_shard", F.col("id").bitwiseAND(F.lit(63)).cast("int"))
+
+
+@query(f"WITH {KO} SELECT key, value, lat, expiry, state FROM ko")
+def record_roundtrip(spark, d):
+    """Records to JSON objects and back."""
+    state = ko(spark, d)
+    text = state.select("key", S.record_json(F.col("value"), F.col("lat"), F.col("expiry"), F.col("state")).alias("text"))
+    return text.select("key", S.record_of(F.col("text"), state.schema["value"].dataType).alias("r")).select("key", "r.value", "r.lat", "r.expiry", F.col("r.state").cast("int").alias("state"))
+
+
 @query("SELECT (s_suppkey + 1) * 100 AS n, CAST(ceil(-((s_suppkey + 1) * 100) * ln(0.01) / pow(ln(2), 2)) AS BIGINT) AS bits, CAST(ceil(ln(2) * (-((s_suppkey + 1) * 100) * ln(0.01) / pow(ln(2), 2)) / ((s_suppkey + 1) * 100)) AS INTEGER) AS hashes FROM supplier")
 def bloom_sizing(spark, d):
     n = ((F.col("s_suppkey") + 1) * 100).alias("n")
@@ -416,9 +531,40 @@ def vec_label_vote(spark, d):
     return vector.label_vote(n, v)
 
 
+@query()
+def vec_hnsw_knn(spark, d):
+    """Approximate, so without SQL: a test holds its recall against ``vec_batch_knn``'s exact neighbours."""
+    v = _vectors(spark, d)
+    return hnsw.search(hnsw.build(v), v.filter("id % 50 = 0"), 5, exclude_self=True).select("query", "id", r6("score").alias("score"), "rank")
+
+
 # Service
 
 
+@query(f"WITH RECURSIVE {KT}, {fold_sql('kt')} SELECT s.key, s.seq, s.op, f.live, f.num, f.txt, f.expiry, f.code, f.data FROM f JOIN steps s ON s.key = f.key AND s.i = f.i")
+def kv_command_codes(spark, d):
+    """Every command's response."""
+    return resolve.responses(kt(spark, d))
+
+
+@query(f"WITH RECURSIVE {KT}, {fold_sql('kt')} SELECT s.op, f.code, count(*) AS n FROM f JOIN steps s ON s.key = f.key AND s.i = f.i GROUP BY ALL")
+def command_counters(spark, d):
+    return service.counters(resolve.responses(kt(spark, d)))
+
+
+@query(f"""WITH RECURSIVE {KL}, old AS (SELECT * FROM kl WHERE ts <= {LOG_MID}), {fold_sql('old')},
+base AS (SELECT key, num, CASE WHEN expiry = 4102444800 THEN 0 ELSE expiry - {LOG_MID} + 1 END AS ttl FROM folded WHERE live AND expiry >= {LOG_MID}),
+new AS (SELECT seq, ts, op, key, num, txt, ttl FROM kl WHERE ts > {LOG_MID}),
+joint AS (SELECT CAST(-1 AS BIGINT) AS seq, {LOG_MID} - 1 AS ts, 'SET' AS op, key, num, CAST(NULL AS VARCHAR) AS txt, ttl FROM base WHERE key IN (SELECT key FROM new) UNION ALL SELECT * FROM new),
+{fold_sql('joint', '2')}
+SELECT s.key, s.seq, s.op, g.code, g.data FROM f2 g JOIN steps2 s ON s.key = g.key AND s.i = g.i WHERE s.seq >= 0""")
+def kv_batch_on_state(spark, d):
+    """The second half's commands as one batch on the state that the first half left."""
+    log = kl(spark, d)
+    state = resolve.fold(log.filter(F.col("ts") <= LOG_MID)).filter("live").select("key", F.col("num").alias("value"), "expiry", F.lit(0).cast("byte").alias("state"))
+    return service.batch(state, log.filter(F.col("ts") > LOG_MID), LOG_MID).select("key", "seq", "op", "code", "data")
+
+
 @query(f"WITH {KO}, s AS (SELECT count(*) AS total_keys, count(*) FILTER (WHERE expiry <> 4102444800) AS keys_with_ttl, CAST(coalesce(sum(octet_length(encode(key)) + 24), 0) AS BIGINT) AS bytes FROM ko WHERE {LIVE}) SELECT *, '{{\"total_keys\":' || total_keys || ',\"keys_with_ttl\":' || keys_with_ttl || ',\"bytes\":' || bytes || '}}' AS json FROM s")
 def info_stats(spark, d):
     state = ko(spark, d)
@@ -460,9 +606,9 @@ def join_left(spark, d):
     return c.join(o, o.o_custkey == c.c_custkey, "left").select("c_custkey", "o_orderkey")
 
 
-@query("SELECT s_suppkey, c_custkey FROM (SELECT * FROM supplier WHERE s_suppkey % 2 = 0) FULL JOIN (SELECT * FROM customer WHERE c_custkey % 3 = 0) ON s_suppkey = c_custkey")
+@query("SELECT s_suppkey, c_custkey FROM (SELECT * FROM supplier WHERE s_acctbal > 0) FULL JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON s_suppkey = c_custkey")
 def join_full(spark, d):
-    s, c = table(spark, d, "supplier").filter("s_suppkey % 2 = 0"), table(spark, d, "customer").filter("c_custkey % 3 = 0")
+    s, c = table(spark, d, "supplier").filter("s_acctbal > 0"), table(spark, d, "customer").filter("c_acctbal > 0")
     return s.join(c, s.s_suppkey == c.c_custkey, "full").select("s_suppkey", "c_custkey")
 
 
@@ -581,6 +727,16 @@ def stream_kv_state(spark, d):
     return responses(spark, kl(spark, d)).select("key", "seq", "live", "num", "expiry", "code", "data")
 
 
+@query("""WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS stop, count(*) AS n FROM events GROUP BY ALL)
+SELECT start, stop, n FROM w WHERE stop <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 2 HOUR FROM events)""")
+def stream_late_dropped(spark, d):
+    """Append mode: every event comes once more a day late and after all others, and no window counts it."""
+    from .streaming_runs import hourly_append
+
+    e = table(spark, d, "events")
+    return hourly_append(spark, e, e.withColumn("ts", F.col("ts") - F.expr("interval 1 day")))
+
+
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS stop, count(*) AS n FROM events GROUP BY ALL")
 def stream_watermark_late(spark, d):
     from .streaming_runs import hourly
@@ -588,3 +744,88 @@ def stream_watermark_late(spark, d):
     return hourly(spark, table(spark, d, "events"))
 
 
+# Languages and function families over resolved state
+
+
+@query(f"WITH {KO} SELECT state, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) AS total FROM ko WHERE {LIVE} GROUP BY state")
+def sql_over_view(spark, d):
+    reads.as_view(ko(spark, d), "live_orders", NOW)
+    return spark.sql("SELECT state, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) AS total FROM live_orders GROUP BY state")
+
+
+@query("SELECT event_type, count(DISTINCT user_id) AS exact, true AS near FROM events GROUP BY event_type")
+def approx_distinct(spark, d):
+    """The sketch's count is within three of its standard errors, 5 percent each."""
+    g = table(spark, d, "events").groupBy("event_type").agg(F.count_distinct("user_id").alias("exact"), F.approx_count_distinct("user_id", 0.05).alias("about"))
+    return g.select("event_type", "exact", (F.abs(F.col("about") - F.col("exact")) <= 0.15 * F.col("exact") + 1).alias("near"))
+
+
+@query("SELECT l_returnflag, true AS near FROM lineitem GROUP BY l_returnflag")
+def approx_quantiles(spark, d):
+    """The share of rows up to each approximate quartile is that quartile, to a hundredth."""
+    l = table(spark, d, "lineitem")  # noqa: E741
+    q = l.groupBy("l_returnflag").agg(F.percentile_approx("l_extendedprice", [0.25, 0.5, 0.75], 10_000).alias("q"))
+    share = lambda k: F.avg((F.col("l_extendedprice") <= F.col("q")[k]).cast("double"))
+    near = [F.abs(share(k) - p) <= 0.01 for k, p in enumerate((0.25, 0.5, 0.75))]
+    return l.join(F.broadcast(q), "l_returnflag").groupBy("l_returnflag").agg((near[0] & near[1] & near[2]).alias("near"))
+
+
+@query("SELECT c_custkey, upper(c_name) AS up, reverse(c_mktsegment) AS back, lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS padded, replace(c_name, '#', '-') AS swapped, split_part(c_name, '#', 2) AS tail, strpos(c_name, '#') AS at, regexp_replace(c_name, '[0-9]', '', 'g') AS letters, trim('  ' || c_mktsegment || ' ') AS trimmed FROM customer")
+def fn_strings(spark, d):
+    n = F.col("c_name")
+    return table(spark, d, "customer").select("c_custkey", F.upper(n).alias("up"), F.reverse("c_mktsegment").alias("back"), F.lpad(F.col("c_custkey").cast("string"), 8, "0").alias("padded"), F.replace(n, F.lit("#"), F.lit("-")).alias("swapped"), F.split_part(n, F.lit("#"), F.lit(2)).alias("tail"), F.instr(n, "#").cast("long").alias("at"), F.regexp_replace(n, "[0-9]", "").alias("letters"), F.trim(F.concat(F.lit("  "), "c_mktsegment", F.lit(" "))).alias("trimmed"))
+
+
+@query("SELECT o_orderkey, year(o_orderdate) AS y, quarter(o_orderdate) AS q, date_trunc('month', o_orderdate) AS month, CAST(CAST(o_orderdate AS DATE) + 30 AS VARCHAR) AS later, date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS days, CAST(last_day(CAST(o_orderdate AS DATE)) AS VARCHAR) AS ends FROM orders")
+def fn_dates(spark, d):
+    c = F.col("o_orderdate")
+    return table(spark, d, "orders").select("o_orderkey", F.year(c).cast("long").alias("y"), F.quarter(c).cast("long").alias("q"), F.date_trunc("month", c).cast("timestamp_ntz").alias("month"), F.date_add(c.cast("date"), 30).cast("string").alias("later"), F.datediff(c.cast("date"), F.lit("1990-01-01").cast("date")).cast("long").alias("days"), F.last_day(c.cast("date")).cast("string").alias("ends"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, round(sqrt(l_extendedprice), 6) AS root, round(ln(l_quantity), 6) AS log, abs(l_partkey - l_suppkey) AS apart, l_partkey % 7 AS rest, CAST(sign(l_partkey - l_suppkey) AS INTEGER) AS side, round(power(l_discount, 2), 6) AS square FROM lineitem")
+def fn_math(spark, d):
+    gap = F.col("l_partkey") - F.col("l_suppkey")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", r6(F.sqrt("l_extendedprice")).alias("root"), r6(F.ln("l_quantity")).alias("log"), F.abs(gap).alias("apart"), (F.col("l_partkey") % 7).alias("rest"), F.signum(gap).cast("int").alias("side"), r6(F.pow("l_discount", F.lit(2.0))).alias("square"))
+
+
+@query("""WITH m AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL)
+SELECT user_id, string_agg(event_type || '=' || n, ',' ORDER BY event_type) AS counts, CAST(count(*) AS INTEGER) AS kinds, CAST(sum(n) AS BIGINT) AS total, CAST(coalesce(max(CASE WHEN event_type = 'click' THEN n END), 0) AS BIGINT) AS clicks FROM m GROUP BY user_id""")
+def fn_maps(spark, d):
+    """A map for each user, sorted by key and read as a whole and by key."""
+    n = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    m = n.groupBy("user_id").agg(S.sorted_map(F.map_from_entries(F.collect_list(F.struct("event_type", "n")))).alias("m"))
+    text = F.array_join(F.transform(F.map_entries("m"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    total = F.aggregate(F.map_values("m"), F.lit(0).cast("long"), lambda a, x: a + x)
+    return m.select("user_id", text.alias("counts"), F.size("m").alias("kinds"), total.alias("total"), F.coalesce(F.element_at("m", F.lit("click")), F.lit(0)).cast("long").alias("clicks"))
+
+
+@query("SELECT event_id, CAST(json_extract(json_object('k', event_type, 'v', list_value(user_id, event_id)), '$.v[1]') AS BIGINT) AS second, event_type AS k FROM events")
+def fn_json(spark, d):
+    """Rows to JSON and back by schema."""
+    text = table(spark, d, "events").select("event_id", F.to_json(F.struct(F.col("event_type").alias("k"), F.array("user_id", "event_id").alias("v"))).alias("j"))
+    return text.select("event_id", F.from_json("j", "k string, v array<long>").alias("x")).select("event_id", F.col("x.v")[1].alias("second"), "x.k")
+
+
+@query("SELECT l_suppkey, round(quantile_cont(l_extendedprice, 0.5), 6) AS median FROM lineitem GROUP BY l_suppkey")
+def udf_aggregate(spark, d):
+    """A user-defined aggregate over Arrow batches."""
+
+    @F.pandas_udf("double")
+    def median(v: pd.Series) -> float:
+        return float(v.median())
+
+    return table(spark, d, "lineitem").groupBy("l_suppkey").agg(r6(median("l_extendedprice")).alias("median"))
+
+
+@query("SELECT c_custkey, CAST(i AS INTEGER) AS place, substr(c_mktsegment, CAST(i AS INTEGER) + 1, 1) AS letter FROM customer, range(0, 20) r(i) WHERE i < length(c_mktsegment)")
+def udtf_letters(spark, d):
+    """A user-defined table function, joined laterally."""
+
+    @F.udtf(returnType="place int, letter string")
+    class Letters:
+        def eval(self, text: str):
+            yield from enumerate(text)
+
+    spark.udtf.register("letters_of", Letters)
+    table(spark, d, "customer").createOrReplaceTempView("customer_segments")
+    return spark.sql("SELECT c_custkey, place, letter FROM customer_segments, LATERAL letters_of(c_mktsegment)")

@@ -88,10 +88,10 @@ KT = """kt AS (SELECT event_id AS seq, CAST(floor(epoch(ts)) AS BIGINT) AS ts,
   CAST(CASE WHEN event_type = 'purchase' THEN 172800 WHEN event_type = 'signup' THEN 604800 ELSE 0 END AS BIGINT) AS ttl FROM events)"""
 
 
-def fold_sql(log: str) -> str:
-    """The fold, one command after another for each key, by recursion on the command's number."""
-    return f"""steps AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) AS i FROM {log}),
-f AS (
+def fold_sql(log: str, tag: str = "") -> str:
+    """The fold, one command after another for each key, by recursion on the command's number; ``tag`` ends the names of its tables."""
+    return f"""steps{tag} AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) AS i FROM {log}),
+f{tag} AS (
   SELECT key, CAST(0 AS BIGINT) AS i, false AS live, CAST(NULL AS BIGINT) AS num, CAST(NULL AS VARCHAR) AS txt, CAST(4102444800 AS BIGINT) AS expiry, 5001 AS code, CAST(-99999999 AS BIGINT) AS data FROM (SELECT DISTINCT key FROM {log})
   UNION ALL
   SELECT key, i,
@@ -106,8 +106,8 @@ f AS (
     CASE WHEN op IN ('SET', 'DELETE') THEN 1 WHEN dead THEN CASE WHEN op = 'EXPIRE' THEN 0 ELSE -99999999 END
          WHEN op = 'INCR' AND had IS NOT NULL THEN had + num WHEN op = 'DECR' AND had IS NOT NULL THEN had - num
          WHEN op = 'APPEND' AND htxt IS NOT NULL THEN octet_length(encode(htxt || txt)) WHEN op = 'EXPIRE' THEN 1 ELSE -99999999 END
-  FROM (SELECT s.*, f.num AS had, f.txt AS htxt, f.expiry AS hexp, (NOT f.live OR s.ts > f.expiry) AS dead FROM f JOIN steps s ON s.key = f.key AND s.i = f.i + 1))
-, folded AS (SELECT key, live, num, txt, expiry, code, data FROM f WHERE i = (SELECT max(s.i) FROM steps s WHERE s.key = f.key))"""
+  FROM (SELECT s.*, f.num AS had, f.txt AS htxt, f.expiry AS hexp, (NOT f.live OR s.ts > f.expiry) AS dead FROM f{tag} f JOIN steps{tag} s ON s.key = f.key AND s.i = f.i + 1))
+, folded{tag} AS (SELECT key, live, num, txt, expiry, code, data FROM f{tag} f WHERE i = (SELECT max(s.i) FROM steps{tag} s WHERE s.key = f.key))"""
 
 
 def runs(spark, d) -> DataFrame:

@@ -1,24 +1,17 @@
 """Streams over stored tables, run to their end, so that a query can return what they made.
 
-Sinks and checkpoints are below ``spark.checkpoint.dir``; only a session without one gets a folder of this machine.
+Sinks and checkpoints are below ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.resolve import newest
+from ..sources.files import scratch
 from ..streaming import state as streams
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="kvlake-stream-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def responses(spark: SparkSession, log: DataFrame) -> DataFrame:
     work = scratch(spark, "responses")
     log.write.parquet(f"{work}/log")
@@ -41,3 +34,18 @@ def hourly(spark: SparkSession, events: DataFrame) -> DataFrame:
     return spark.read.schema(out.schema).parquet(f"{work}/out")
 
 
+def hourly_append(spark: SparkSession, events: DataFrame, late_events: DataFrame) -> DataFrame:
+    """Hourly counts in append mode: ``events`` come first, ``late_events`` after them. A window is put out once the watermark has passed its end, and what comes for it later is dropped."""
+    work = scratch(spark, "late")
+
+    def run() -> None:
+        stream = spark.readStream.schema(events.schema).parquet(f"{work}/events")
+        out = streams.windowed_counts(stream, "1 hour", late="2 hours").drop("total")
+        seen = lambda batch, epoch: batch.write.mode("append").parquet(f"{work}/out")
+        q = out.writeStream.foreachBatch(seen).outputMode("append").option("checkpointLocation", f"{work}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+
+    for part in (events, late_events):
+        part.write.mode("append").parquet(f"{work}/events")
+        run()
+    return spark.read.schema("start timestamp_ntz, stop timestamp_ntz, n long").parquet(f"{work}/out")

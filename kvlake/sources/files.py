@@ -2,9 +2,33 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a local master, whose tasks are this machine's, may do without."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    known = sc._jsc.sc().getCheckpointDir()
+    if not root and known.isDefined():
+        root = known.get()
+    if not root:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir is not set: a cluster has to name a folder that all its machines share")
+        root = "file://" + tempfile.mkdtemp(prefix="kvlake-")
+    if not known.isDefined():
+        sc.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that no other run uses."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
@@ -25,15 +49,10 @@ def size(spark: SparkSession, path: str) -> int:
     return fs.getContentSummary(p).getLength()
 
 
-def replace(spark: SparkSession, new: str, path: str) -> None:
-    """Puts the folder ``new`` in the place of ``path``; the old one stays until the new one is whole."""
-    fs, p = _fs(spark, path)
-    _, n = _fs(spark, new)
-    old = spark._jvm.org.apache.hadoop.fs.Path(path + ".old")
-    fs.delete(old, True)
-    if fs.exists(p):
-        fs.rename(p, old)
-    if not fs.rename(n, p):
-        fs.rename(old, p)
-        raise OSError(f"could not move {new} to {path}")
-    fs.delete(old, True)
+def versions(spark: SparkSession, root: str, name: str) -> list[int]:
+    """Numbers of the whole tables ``<name>-<number>`` below ``root``: those whose write was committed, the newest last."""
+    fs, p = _fs(spark, root)
+    if not fs.exists(p):
+        return []
+    found = [s.getPath() for s in fs.listStatus(p) if s.getPath().getName().startswith(name + "-")]
+    return sorted(int(x.getName().rsplit("-", 1)[1]) for x in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS")))

@@ -1,7 +1,8 @@
 """Sorted runs: Parquet files by key with a manifest, their flush, lookup and levelled compaction.
 
-A run's row groups are its blocks, their key ranges the sparse index and Parquet's own Bloom filter
-the membership test, so that a lookup by key reads few row groups. A run's folder is never rewritten:
+A run's pages are its blocks, their key ranges (the column index) the sparse index and Parquet's own
+Bloom filter, sized by the keys that a row group has, the membership test; so a lookup by key reads few
+pages of few row groups. A run's folder is never rewritten:
 a compaction writes a new folder, then a new manifest names it in the old ones' place.
 """
 
@@ -16,24 +17,22 @@ from ..operators.maintenance import run_metadata
 from ..operators.resolve import newest
 from . import files
 
-#: Records that a run's Bloom filter is made for, and its rate of false positives.
-BLOOM_RECORDS, BLOOM_RATE = 1_000_000, 0.01
+#: Bytes of a row group, the rate of false positives of its Bloom filter, and that filter's bytes at most.
+GROUP_BYTES, BLOOM_RATE, BLOOM_BYTES = 128 << 20, 0.01, 4 << 20
 
 
 class RunStore:
     """Runs below ``root``: ``run=<id>`` folders and ``manifest-<version>`` tables, the newest of which counts.
 
-    Records have key, value, expiry and state. A larger run id is a newer run.
+    Records have key, value, expiry and state. A larger run id is a newer run. One writer at a time: a
+    folder that no manifest names is what a failed write left, and the next write replaces it.
     """
 
     def __init__(self, spark: SparkSession, root: str, *, block_bytes: int = BLOCK_BYTES, codec: str = "lz4_raw"):
         self.spark, self.root, self.block_bytes, self.codec = spark, root.rstrip("/"), block_bytes, codec
 
     def _versions(self) -> list[int]:
-        fs, p = files._fs(self.spark, self.root)
-        if not fs.exists(p):
-            return []
-        return sorted(int(s.getPath().getName().split("-")[1]) for s in fs.listStatus(p) if s.getPath().getName().startswith("manifest-") and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
+        return files.versions(self.spark, self.root, "manifest")
 
     def manifest(self) -> DataFrame:
         versions = self._versions()
@@ -47,8 +46,8 @@ class RunStore:
 
     def _write(self, run_id: int, records: DataFrame) -> None:
         sorted_ = records.repartitionByRange("key").sortWithinPartitions("key")
-        writer = sorted_.write.option("compression", self.codec).option("parquet.block.size", max(self.block_bytes, 1024)).option("parquet.bloom.filter.enabled#key", "true")
-        writer.option("parquet.bloom.filter.expected.ndv#key", BLOOM_RECORDS).option("parquet.bloom.filter.fpp#key", BLOOM_RATE).parquet(f"{self.root}/run={run_id}")
+        writer = sorted_.write.option("compression", self.codec).option("parquet.block.size", GROUP_BYTES).option("parquet.page.size", self.block_bytes)
+        writer.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.adaptive.enabled", "true").option("parquet.bloom.filter.max.bytes", BLOOM_BYTES).option("parquet.bloom.filter.fpp#key", BLOOM_RATE).mode("overwrite").parquet(f"{self.root}/run={run_id}")
 
     def read(self, run_id: int) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/run={run_id}")

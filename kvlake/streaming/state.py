@@ -69,17 +69,44 @@ def keyed_responses(log: DataFrame, keep_ms: int | None = None) -> DataFrame:
     return log.groupBy("key").applyInPandasWithState(fold, OUT, STATE, "update", timeout)
 
 
+#: Attempts at writing a run before a stream's batch fails.
+ATTEMPTS = 3
+
+
 def flush_to_runs(log: DataFrame, store, now_of, checkpoint: str):
-    """A stream of records (key, value, expiry, state, seq) to sorted runs: each micro-batch's newest versions are a run."""
+    """A stream of records (key, value, expiry, state, seq) to sorted runs: each micro-batch's newest versions are a run.
+
+    A write that fails is tried anew, over what it left; a batch that fails for good stays in the
+    stream's checkpoint and comes again when the query is started again.
+    """
     from ..operators.resolve import newest
 
     def put(batch: DataFrame, epoch: int) -> None:
-        if not batch.isEmpty():
-            store.flush(newest(batch, ["seq"]).drop("seq"), now_of())
+        if batch.isEmpty():
+            return
+        for attempt in range(ATTEMPTS):
+            try:
+                store.flush(newest(batch, ["seq"]).drop("seq"), now_of())
+                return
+            except Exception:
+                if attempt + 1 == ATTEMPTS:
+                    raise
 
     return log.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
 
 
+def supervised(start, restarts: int = 3):
+    """Runs a stream to its end and starts it again when it dies, from its checkpoint. ``start()`` starts the query; the last failure is raised."""
+    for attempt in range(restarts + 1):
+        q = start()
+        try:
+            q.awaitTermination()
+            return q
+        except Exception:
+            if attempt == restarts:
+                raise
+
+
 def windowed_counts(events: DataFrame, length: str, slide: str | None = None, late: str = "0 seconds", time: str = "ts", by: tuple[str, ...] = ()) -> DataFrame:
     """Tumbling or sliding counts and sums of value in event time; ``time`` without a zone reads as UTC."""
     e = events.withColumn("_t", F.col(time).cast("timestamp"))

@@ -93,6 +93,38 @@ def test_keyspace_commands(spark, state):
     assert ks.run("INCR", ["k", "1"], NOW) == (None, 5000, "ERR: offset has invalid type. int64 expected")
     with pytest.raises(ValueError):
         ks.run("NOPE", [], NOW)
+    assert ks.run("HELP", [], NOW).count() == len(service.COMMANDS)
+
+
+def test_writes_answer(spark, state, tmp_path):
+    ks = service.Keyspace(state, f"file://{tmp_path}/snap")
+    said = lambda k: tuple(k.response.first())[:2]
+    assert said(ks.run("SET", ["n", "v", 0], NOW)) == ("true", 1001)
+    big = ks.run("SET", ["n", "x" * 2_000_000, 0], NOW)
+    assert said(big) == ("false", 5005) and big.run("GET", ["n"], NOW).first().code == 5001
+    kept = ks.run("SET", ["a", "x" * 2_000_000, 0], NOW)
+    assert kept.run("GET", ["a"], NOW).first().value == "1"
+    assert said(ks.run("APPEND", ["a", "éx"], NOW)) == ("4", 1001) and said(ks.run("APPEND", ["zz", "x"], NOW)) == (str(SENTINEL), 5001)
+    assert said(ks.run("INCR", ["a", 1], NOW)) == (str(SENTINEL), 5004)
+    assert said(ks.run("DELETE", ["zz"], NOW)) == ("true", 1002) and said(ks.run("MDELETE", [["a"]], NOW)) == ("true", 1102)
+    assert said(ks.run("EXPIRE", ["zz", 5], NOW)) == ("false", 5001) and said(ks.run("EXPIRE", ["a", 5], NOW)) == ("true", 1001)
+    many = ks.run("MSET", [{"p": "1", "q": "y" * 2_000_000}], NOW)
+    assert said(many) == ("true", 1101) and many.run("GET", ["p"], NOW).first().code == 1000 and many.run("GET", ["q"], NOW).first().code == 5001
+    assert tuple(ks.run("SNAPSHOT", [], NOW).first())[::2] == (3, 201)
+    assert service.Keyspace(state).run("SNAPSHOT", [], NOW).first().code == 503
+    again = service.opened(spark, config.settings(""), f"file://{tmp_path}/snap", NOW)
+    assert {r.key for r in again.state.collect()} == {"a", "d"} and again.run("GET", ["a"], NOW).first().value == "1"
+    assert service.opened(spark, config.settings(""), f"file://{tmp_path}/none", NOW).state.count() == 0
+    maps = service.Keyspace(spark.createDataFrame([], "key string, value map<string,int>, expiry long, state tinyint"))
+    assert said(maps.run("SET", ["k", {"a": 1}, 0], NOW)) == ("false", 5006)
+
+
+def test_batch_of_commands(spark, state):
+    commands = spark.createDataFrame([(1, NOW, "APPEND", "a", None, "x", 0), (2, NOW, "INCR", "a", 1, None, 0), (3, NOW, "GET", "b", None, None, 0), (4, NOW, "TTL", "c", None, None, 0), (5, NOW, "DELETE", "a", None, None, 0), (6, NOW, "GET", "a", None, None, 0)], "seq long, ts long, op string, key string, num long, txt string, ttl long")
+    got = service.batch(state, commands, NOW)
+    assert {(r.seq, r.code, r.data) for r in got.collect()} == {(1, 1001, 2), (2, 5004, SENTINEL), (3, 5001, 0), (4, 1000, 0), (5, 1002, 1), (6, 5001, 0)}
+    assert rows(service.counters(got)) == {("APPEND", 1001, 1), ("INCR", 5004, 1), ("GET", 5001, 2), ("TTL", 1000, 1), ("DELETE", 1002, 1)}
+    assert '{"data":2,"code":1001,"message":"record updated"}' in {r.response for r in service.encoded(got).collect()}
 
 
 def test_set_checks(spark):
@@ -116,6 +148,8 @@ def test_hashes(spark):
     pairs = [(1, 2), (-1, 5), (5, -1), (-7, -9), (2**31 - 1, -(2**31)), (0, 0)]
     df = spark.createDataFrame(pairs, "a int, b int").withColumn("p", scalar.pack(F.col("a"), F.col("b")))
     assert rows(df.select(scalar.unpack_first(F.col("p")), scalar.unpack_second(F.col("p")))) == set(pairs)
+    codes = {"": -3750763034362895579, "a": 0xAF63DC4C8601EC8C - 2**64, "hello": 0xA430D84680AABD0B - 2**64}
+    assert {k: one.select(scalar.fnv1a64(F.lit(k)).alias("h")).first().h for k in codes} == codes
     assert scalar.bloom_size(1000, 0.01) == (9586, 7)
     assert [scalar.bloom_hashes(1000, r) for r in (0.05, -0.01, 1.2)] == [5, 7, 7]
 
@@ -157,6 +191,13 @@ def test_bits_and_bloom(spark):
     asked = spark.createDataFrame([(0,), (2,), (63,), (999,)], "position long")
     assert rows(bits.is_set(a, asked)) == {(0, True), (2, False), (63, True), (999, False)}
     assert a.filter("word = 1").select(bits.rendered(F.col("bits")).alias("s")).first().s == "1" + "0" * 63
+    both = a.withColumn("g", F.lit(1)).unionByName(b.withColumn("g", F.lit(2)))
+    assert rows(bits.deserialized(bits.serialized(both, ["g"]), ["g"]).select("word", "bits", "g")) == rows(both.select("word", "bits", "g"))
+    assert rows(bits.deserialized(bits.serialized(a))) == rows(a) and bits.memory(65) == 16
+    assert bits.checked(asked, 1000).count() == 4
+    for size in (999, 1):
+        with pytest.raises(ValueError):
+            bits.checked(asked, size)
     members = keys(spark, *[f"k{i}" for i in range(1000)])
     size, k = scalar.bloom_size(1000, 0.01)
     built = bits.bloom_build(members, size, k)
