@@ -1,36 +1,58 @@
-"""The folder that driver and executors share, and what the operators keep there.
+"""What the operators share: tables kept in the folder that driver and executors share, and names that no input takes.
 
-``spark.checkpoint.dir`` names the folder. Only where a session has none (tests, a laptop) is a
-folder of this machine made and set; a cluster always names its own.
+``spark.checkpoint.dir`` names the folder; only a local master may do without one.
 """
 
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WORD = r"[^\x20\x09-\x0D]+"
-
+from ..sources import files
 
-def shared_root(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    known = sc._jsc.sc().getCheckpointDir()
-    if not root:
-        root = known.get() if known.isDefined() else "file://" + tempfile.mkdtemp(prefix="kvlake-")
-    if not known.isDefined():
-        sc.setCheckpointDir(root)
-    return root.rstrip("/")
+WORD = r"[^\x20\x09-\x0D]+"
+#: Paths and catalog tables that this process has made, for ``remove_written``.
+_made: list[str] = []
+_tables: list[str] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = files.scratch(spark, name)
+    _made.append(path)
+    return path
+
+
+def named_table(name: str) -> str:
+    _tables.append(name)
+    return name
+
+
+def remove_written(spark: SparkSession) -> None:
+    """Removes all that the operators have kept so far. Results that have not been read or stored by then are lost."""
+    while _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
+    while _made:
+        remove(spark, _made.pop())
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores after it as it takes to be no column of the DataFrame."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
+def own(df: DataFrame, *without: str) -> list[Column]:
+    """The DataFrame's columns by name, without those named."""
+    gone = {c.lower() for c in without}
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c.lower() not in gone]
 
 
 def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
