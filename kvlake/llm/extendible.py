@@ -6,9 +6,11 @@ the data's weight. The histogram of prefixes is built for a few bits at a time o
 whose bucket is still too large; a round's table has at most 2^STEP rows for each open bucket.
 
 Built-in functions only. Rows of one key share all bits, so a key (or a single row) beyond the limit
-stays a shard of its own, marked ``oversized``: a limit can't be met by hashing then. Defined results:
+stays a shard of its own, marked ``oversized``: a limit can't be met by hashing then, and a writer
+spreads such a shard over several files. Defined results:
 * a null key hashes as the empty string; a null or empty text has 0 bytes; repeated rows share a shard
-* empty table: no rows and an empty directory; other columns are kept, names that start with _ext_ are taken
+* empty table: no rows and an empty directory
+* other columns are kept, whatever their names; an input's own shard, n_bytes, shard_bytes or oversized is replaced
 """
 
 from __future__ import annotations
@@ -16,10 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import free, own, written
 
 BITS = 60
 STEP = 12
+ADDED = ("shard", "n_bytes", "shard_bytes", "oversized")
 
 
 def hash_bits(key: Column) -> Column:
@@ -55,23 +58,36 @@ def directory(rows: DataFrame, limit: int) -> DataFrame:
     return written(done, "ext-directory")
 
 
-def shards(df: DataFrame, *, key_col: str = "doc_id", text_col: str = "text", limit: int = 8 << 20) -> DataFrame:
-    """The rows with shard (the prefix's bits as text, empty for the root), shard_bytes and oversized.
+def _placed(rows: DataFrame, limit: int) -> DataFrame:
+    """``rows`` has _ext_hash and _ext_bytes. For each hash its shard, the shard's bytes and whether it is oversized.
 
-    A shard's prefix has some depth d, and no other shard lies on the path to it: looking the row up at
-    each depth that the directory has finds one shard. The directory joins by (depth, prefix); a row is
-    repeated once for each depth in use, which differ by few bits, before its narrow columns are dealt out.
+    A shard's prefix has some depth d, and no other shard lies on the path to it: looking a hash up at
+    each depth that the directory has finds one shard. Only the distinct hashes are repeated for the
+    depths in use, which differ by few bits; the rows themselves meet the result once.
     """
-    rows = df.withColumn("_ext_hash", hash_bits(F.col(key_col))).withColumn("_ext_bytes", F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long"))
-    plan = directory(rows.select("_ext_hash", "_ext_bytes"), limit)
+    plan = directory(rows, limit)
     depths = plan.agg(F.sort_array(F.collect_set("depth")).alias("d")).first()["d"]
     plan = plan.select(F.col("depth").alias("_ext_depth"), F.col("prefix").alias("_ext_prefix"), F.col("bytes").alias("shard_bytes"), "oversized")
+    hashes = rows.select("_ext_hash").distinct().withColumn("_ext_depth", F.explode(F.array(*[F.lit(d) for d in depths]) if depths else F.array().cast("array<int>")))
+    hashes = hashes.withColumn("_ext_prefix", F.expr(f"shiftright(_ext_hash, {BITS} - _ext_depth)")).join(plan, ["_ext_depth", "_ext_prefix"])
     name = F.expr(f"substring(lpad(bin(_ext_hash), {BITS}, '0'), 1, _ext_depth)")
-    rows = rows.withColumn("_ext_depth", F.explode(F.array(*[F.lit(d) for d in depths]) if depths else F.array().cast("array<int>")))
-    rows = rows.withColumn("_ext_prefix", F.expr(f"shiftright(_ext_hash, {BITS} - _ext_depth)"))
-    return rows.join(plan, ["_ext_depth", "_ext_prefix"]).select(*[F.col(c) for c in df.columns], name.alias("shard"), F.col("_ext_bytes").alias("n_bytes"), "shard_bytes", "oversized")
+    return written(hashes.select("_ext_hash", name.alias("shard"), "shard_bytes", "oversized"), "ext-placed")
+
+
+def shards(df: DataFrame, *, key_col: str = "doc_id", text_col: str = "text", limit: int = 8 << 20) -> DataFrame:
+    """The rows with shard (the prefix's bits as text, empty for the root), n_bytes, shard_bytes and oversized."""
+    hash_, size = hash_bits(F.col(key_col)), F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long")
+    placed = _placed(df.select(hash_.alias("_ext_hash"), size.alias("_ext_bytes")), limit)
+    at, n = free(df, "_hash", "_bytes")
+    rows = df.withColumn(at, hash_).withColumn(n, size)
+    found = rows.join(placed.select(F.struct("shard", "shard_bytes", "oversized").alias("_ext"), F.col("_ext_hash").alias("_ext_at")), F.col(at) == F.col("_ext_at"))
+    return found.select(*own(df, *ADDED), F.col("_ext.shard").alias("shard"), F.col(n).alias("n_bytes"), F.col("_ext.shard_bytes").alias("shard_bytes"), F.col("_ext.oversized").alias("oversized"))
 
 
-def write_shards(df: DataFrame, path: str, **how) -> None:
-    """Writes a folder for each shard; the rows are dealt out by shard, whose bytes are bounded."""
-    shards(df, **how).repartition("shard").write.partitionBy("shard").parquet(path)
+def write_shards(df: DataFrame, path: str, *, limit: int = 8 << 20, **how) -> None:
+    """Writes a folder for each shard. The rows of a shard go to one task, whose bytes the limit bounds; those of an oversized shard go to as many tasks as it has limits, by the task that read them."""
+    (part,) = free(df, "_part")
+    placed = shards(df.withColumn(part, F.spark_partition_id()), limit=limit, **how)
+    spread = F.when(F.col("oversized"), F.pmod(F.col(part), F.ceil(F.col("shard_bytes") / limit))).otherwise(F.lit(0)).cast("int")
+    placed = placed.withColumn(part, spread)
+    placed.repartition("shard", part).drop(part).write.partitionBy("shard").parquet(path)

@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from kvlake.llm import extendible, mixing, queries, secrets_ledger
 
@@ -87,6 +88,29 @@ def test_ledger_scans_each_blob_once(spark):
     assert secrets_ledger.fresh_ledger(spark).scan(df.limit(0), path_col="doc_id").count() == 0
 
 
+def test_repeated_rows_are_scanned_once(spark):
+    text = "token=abcdef12 " * 3
+    df = spark.createDataFrame([(1, text)] * 50 + [(2, text)] * 5, "path long, text string").repartition(6)
+    ledger = secrets_ledger.fresh_ledger(spark)
+    assert ledger.scan(df).count() == 55
+    assert spark.read.parquet(ledger.path + "/findings").count() == 1
+
+
+@pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 1500])
+def test_running_totals(spark, n):
+    values = [(7 * i) % 11 for i in range(n)]
+    row = spark.createDataFrame([(values,)], "x array<int>").select(secrets_ledger.running(F.col("x"), lambda a, b: a + b).alias("s"), secrets_ledger.running(F.col("x"), F.greatest).alias("m")).first()
+    assert row.s == [sum(values[:i]) for i in range(n)] and row.m == [max(values[:i], default=0) for i in range(n)]
+
+
+def test_many_secrets_in_one_text(spark):
+    text = "".join(f"é token=abcdef{i} AKIA{'A' * 20} " for i in range(3000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    spans = secrets_ledger.fresh_ledger(spark).scan(df, path_col="doc_id").first().spans
+    assert ",".join(f"{s.kind}:{s.start}:{s.stop}" for s in spans) == brute_spans(text)
+    assert secrets_ledger.masked(df).first().text == "é [SECRET] [SECRET] " * 3000
+
+
 def test_masked(spark):
     df = spark.createDataFrame(ODD, SCHEMA)
     out = secrets_ledger.masked(df)
@@ -132,6 +156,35 @@ def test_mix_odd_inputs(spark):
     assert mixing.mix(spark.createDataFrame([(1, None, "a", None)], SCHEMA)).first().taken == 0
 
 
+def test_mix_of_repeated_rows(spark):
+    """Equal rows are taken one by one, so that a source of copies meets its target, within one document for whole ones."""
+    rows = [(1, "one two three four", "a", "x")] * 200 + [(2 + i, "w " * (1 + i % 7), "b", "x") for i in range(300)] + [(9, None, None, "x")] * 3
+    df = spark.createDataFrame(rows, SCHEMA).repartition(7)
+    m = mixing.mix(df).collect()
+    assert len(m) == len(rows)
+    check_mix(m)
+    assert sorted((r.id, r.taken) for r in mixing.mix(df.repartition(3)).collect()) == sorted((r.id, r.taken) for r in m)
+    sizes = {"a": 800, "b": sum(1 + i % 7 for i in range(300)), None: 0}
+    target, taken = brute_targets(sizes), defaultdict(int)
+    for r in mixing.mixed_documents(df).collect():
+        taken[r.source] += len(WORD.findall(r.text))
+    assert abs(taken["a"] - target["a"]) <= 4 and abs(taken["b"] - target["b"]) <= 7 and None not in taken
+
+
+@pytest.mark.parametrize("repeats", [1, 2])
+def test_columns_of_any_name(spark, repeats):
+    """Names that the operators use themselves are kept where the input has them."""
+    extra = ["_cut", "_name", "_epochs", "_copies", "_copy", "_number", "_wanted", "_blob", "_spans", "_sha", "blob", "spans", "path", "before", "size", "key", "row"]
+    rows = [(i, t, s, *extra) for i, t, s, _ in ODD if i not in (3, None)] * repeats
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in extra))
+    clean = secrets_ledger.masked(df)
+    assert clean.columns == df.columns and clean.count() == len(rows)
+    mixed = mixing.mixed_documents(df)
+    assert mixed.columns == df.columns
+    for r in clean.collect() + mixed.collect():
+        assert [r[c] for c in extra] == extra
+
+
 def test_mixed_documents_follow_the_cut(spark, sf_dir):
     docs = documents(spark, sf_dir)
     m = {r.id: r for r in mixing.mix(docs).collect()}
@@ -164,6 +217,31 @@ def test_shards(spark, sf_dir, limit):
             assert sum(r.n_bytes for r in rows if hashes[r.doc_id].startswith(s[:-1])) > limit
 
 
+def test_shards_beside_columns_of_any_name(spark, tmp_path):
+    named = "doc_id long, text string, shard_bytes string, oversized string, shard string, n_bytes string, _hash string, _ext_hash string, _part string"
+    rows = [(i, "x" * (10 * i), *"abcdefg") for i in range(1, 30)] + [(7, "y" * 500, *"abcdefg")] * 3
+    df = spark.createDataFrame(rows, named)
+    out = extendible.shards(df, limit=300)
+    assert sorted(out.columns) == sorted(df.columns) and out.count() == len(rows)
+    got = out.collect()
+    assert {(r._hash, r._ext_hash, r._part) for r in got} == {("e", "f", "g")}
+    assert any(r.oversized is True for r in got) and all(r.n_bytes == len(r.text) for r in got)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        extendible.write_shards(df.repartition(5), f"file://{tmp_path}/shards", limit=300)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    back = spark.read.parquet(f"file://{tmp_path}/shards")
+    assert back.count() == len(rows)
+    size = defaultdict(int)
+    for r in got:
+        size[r.shard] += r.n_bytes
+    top = max(size, key=size.get)
+    assert size[top] > 300 and len([f for f in tmp_path.glob(f"shards/shard={top or '__HIVE_DEFAULT_PARTITION__'}/*.parquet")]) > 1
+
+
 def test_shards_odd_inputs(spark):
     df = spark.createDataFrame(ODD, SCHEMA)
     out = extendible.shards(df, limit=100)
