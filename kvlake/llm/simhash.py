@@ -17,7 +17,7 @@ fingerprint from the start. Defined results:
 * null, empty or blank text: fingerprint 0, linked like any other
 * fewer words than a shingle: the whole sequence is the one shingle; repeated rows are kept
 * null ids: rows stay, and count for no component's least id; a component of null ids has a null id
-* empty table: no rows
+* empty table: no rows; columns of the input beside the named ones are not touched, whatever their names
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import batches_of, written
+from .shared import batches_of, free, written
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -227,7 +227,25 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with the least id of each component, columns as before. A row with a null id stays where its whole component has none."""
+    """Exactly one row of each component, columns as before: that of the least id, null ids last; of rows that share it any one.
+
+    Where ids tell rows apart, the kept ids are looked up in the documents. Where one repeats, or two are
+    null, rows get numbers first, in a written copy, and the numbers are looked up.
+    """
     found = near_duplicates(docs, id_col=id_col, text_col=text_col)
-    keep = found.filter(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_id")).distinct()
-    return docs.join(keep.hint("shuffle_hash"), F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    if found.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        keep = found.filter(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_kept"))
+        return _kept(docs, keep, F.col(id_col).cast("long"))
+    (row,) = free(docs, "_row")
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "simhash-numbered")
+    found = near_duplicates(numbered, id_col=row, text_col=text_col)
+    ids = numbered.select(F.col(row).alias("id"), F.col(id_col).cast("long").alias("_own"))
+    least = found.join(ids, "id").groupBy("component_id").agg(F.min(F.struct(F.col("_own").isNull(), "_own", "id"))["id"].alias("_kept"))
+    return _kept(numbered, least.select("_kept"), F.col(row)).drop(row)
+
+
+def _kept(docs: DataFrame, keep: DataFrame, by) -> DataFrame:
+    """The documents whose ``by`` is in ``keep``, a table of _kept."""
+    (name,) = free(docs, "_kept")
+    keep = keep.withColumnRenamed("_kept", name)
+    return docs.join(keep.hint("shuffle_hash"), by.eqNullSafe(F.col(name)), "left_semi")

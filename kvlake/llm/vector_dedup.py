@@ -9,9 +9,10 @@ verified on the original components in double precision.
 
 Equal vectors are one node with a count. A tile pair returns a count of links for each node and a
 spanning forest, never its pairs. Defined results:
-* a null id, a null label, a null, empty or zero vector, null or non-finite components: no links, a component of its own
+* a null label, a null, empty or zero vector, null or non-finite components: no links, a component of its own
+* a null id: linked and counted like any other, but it names no component; a component of null ids alone has a null id and its rows are kept
 * vectors of different lengths are never linked; repeated rows and repeated ids are all counted
-* empty table: no rows
+* empty table: no rows; columns of the input beside the named ones are not touched
 """
 
 from __future__ import annotations
@@ -129,7 +130,7 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     """id, n_links, component_id and kept for each row."""
     spark = vectors.sparkSession
     v = F.col(vector_col).cast("array<double>")
-    fine = v.isNotNull() & F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False)) & F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))), F.lit(False))
+    fine = v.isNotNull() & F.col(label_col).isNotNull() & F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False)) & F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))), F.lit(False))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), v.alias("v"), F.coalesce(fine, F.lit(False)).alias("fine"))
     rows = written(rows, "vector-rows")
     nodes = rows.filter("fine").groupBy("label", "v").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
@@ -184,6 +185,7 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     known = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(counted, "node", "left")
     least = known.groupBy("root").agg(F.min("least").alias("component_id"))
     known = known.join(least, "root").select("label", "v", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id", F.lit(True).alias("fine"))
+    # null where all ids of a component are null
     out = rows.join(known, ["label", "v", "fine"], "left")
-    component = F.coalesce("component_id", "id")
-    return out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    component = F.coalesce("component_id", F.when(~F.col("fine"), F.col("id")))
+    return out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
