@@ -13,8 +13,8 @@ _SYLLABLES = "an be ci do el fu ga hi in jo ka lu mo ne or pa qui re sa ti um va
 
 
 class Writer:
-    def __init__(self, rng: random.Random):
-        self.rng = rng
+    def __init__(self, rng: random.Random, names: dict[str, list[str]] = NAMES, main: list[str] = MAIN):
+        self.rng, self.names, self.main = rng, names, main
         self.alphabet = rng.sample(_SYLLABLES, 14)
 
     def word(self) -> str:
@@ -39,7 +39,7 @@ class Writer:
         return self.sentences(1, 12)
 
     def name(self, kind: str) -> str:
-        n = self.rng.choice(MAIN if kind == "main" else NAMES[kind])
+        n = self.rng.choice(self.main if kind == "main" else self.names[kind])
         if self.rng.random() < 0.15:
             n = self.rng.choice(("js-", "c-", "block-", "region-", "m-")) + n
         if self.rng.random() < 0.1:
@@ -54,10 +54,10 @@ class Writer:
         return f' {key}="{self.name(kind)}{extra}"'
 
 
-def page(seed: int) -> tuple[str, list[str]]:
-    """A page and the article's blocks in order."""
+def page(seed: int, names: dict[str, list[str]] = NAMES, main: list[str] = MAIN) -> tuple[str, list[str]]:
+    """A page and the article's blocks in order. Its parts have some of ``names``, the article's some of ``main``."""
     rng = random.Random(seed)
-    w = Writer(rng)
+    w = Writer(rng, names, main)
     bare, semantic = rng.choice((0.0, 0.0, 0.2, 0.5)), rng.random() < 0.65
     truth: list[str] = []
 
@@ -120,7 +120,8 @@ def page(seed: int) -> tuple[str, list[str]]:
             elif r < 0.9:
                 a, b = w.words(2, 8), w.words(1, 3)
                 truth.append(f"{a} {b} end.")
-                out.append(f'<p>{a} <a href="/x">{b}</a> end.</p>')
+                begin, end = rng.choice((('<a href="/x">', "</a>"),) * 4 + (("<math><mi>", "</mi></math>"), ("<button>", "</button>"), ('<span aria-hidden="true">', "</span>")))
+                out.append(f"<p>{a} {begin}{b}{end} end.</p>")
             elif r < 0.92:
                 out.append(f"<pre>{say(w.words(2, 30))}</pre>")
             elif r < 0.94:
