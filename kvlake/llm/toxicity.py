@@ -11,7 +11,11 @@ held-out ones; all else covers every row and the whole text. Defined results:
 * null, empty or blank text: the score of an empty average, label 0 unless the model's bias says else
 * no usable label, or labels of one class alone: every score is that class's rate (0 without labels)
 * null ids: not held out, as they have no text to take a remainder of; repeated rows are scored alike
-* labels with a null id or value are left out; of several for one id the largest holds
+* labels with a null id or value are left out; of several for one id the largest holds; of several texts
+  under one labelled id the least is learned from, so that at most ``SAMPLE`` rows reach the driver
+* few labels: what the classes differ in is looked for by standard errors, which n labels bring to the
+  root of n at most, so the demand falls with n below 39; from a handful every score is the classes' rate
+* columns of the input beside the named ones are not touched, whatever their names
 """
 
 from __future__ import annotations
@@ -32,8 +36,8 @@ DIM = 8
 EPOCHS = 12
 RATE = 6.0
 DECAY = 0.0001
-#: Standard errors by which the classes must differ in an n-gram.
-LEAST_Z = 5.0
+#: Standard errors by which the classes must differ in an n-gram; of n labels no more than this part of the root of n.
+LEAST_Z, OF_ROOT = 5.0, 0.8
 #: Documents of a training step.
 STEP = 64
 #: Words whose values a task keeps; beyond it the table starts anew.
@@ -103,7 +107,7 @@ class Model:
 
 
 def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
-    """Adam on the cross-entropy of the softmax, over n-gram vectors and both classes' weights together."""
+    """Gradient descent, by steps of ``STEP`` documents that shrink to nothing, on the cross-entropy of the softmax, over n-gram vectors and both classes' weights together."""
     y = np.asarray(labels, np.int64)
     if len(set(y.tolist())) < 2:
         rate = float(y.mean()) if len(y) else 0.0
@@ -130,7 +134,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
         rate[u] += v
     share = (seen.sum(0) + 1) / (n.sum() + 2)
     z = np.abs(seen[1] / n[1] - seen[0] / n[0]) / np.sqrt(share * (1 - share) * (1 / n[0] + 1 / n[1]))
-    read = np.where((z >= LEAST_Z) & (seen.sum(0) >= 3), 1 / np.sqrt(np.maximum(rate / len(bags), 1e-9)), 0)
+    read = np.where((z >= min(LEAST_Z, OF_ROOT * np.sqrt(n.sum()))) & (seen.sum(0) >= 3), 1 / np.sqrt(np.maximum(rate / len(bags), 1e-9)), 0)
     bags = [(u[k], (v[k] * read[u[k]]).astype(np.float32)) for u, v in bags for k in (read[u] > 0,)]
     rng = np.random.default_rng(seed)
     e = (rng.normal(size=(BUCKETS, DIM)) * 0.01).astype(np.float32)
@@ -169,11 +173,12 @@ def held_out(id_col: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
-    """At most ``sample`` ids reach the join and the driver."""
+    """At most ``sample`` ids reach the join, and one text of each the driver."""
     usable = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
     chosen = usable.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     text = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    rows = text.join(F.broadcast(chosen), "_id").toArrow().sort_by([("_id", "ascending"), ("_text", "ascending")])
+    found = text.join(F.broadcast(chosen), "_id").groupBy("_id", "_y").agg(F.min("_text").alias("_text"))
+    rows = found.toArrow().sort_by([("_id", "ascending")])
     return train(rows.column("_text").to_pylist(), rows.column("_y").to_pylist())
 
 

@@ -68,3 +68,78 @@ def test_odd_inputs(spark):
     none = toxicity.fit(docs, labels.limit(0))
     assert {r.predicted for r in toxicity.scores(docs, none).collect()} == {0}
     assert toxicity.scores(docs.limit(0), none).count() == 0
+
+
+def test_few_labels_are_learned_from():
+    words = ["alpha", "beta", "gamma", "delta", "omega", "sigma"]
+    texts = [" ".join(words[(k + j) % 6] for j in range(8)) + (" vile wretch" if k % 2 else " kind friend") for k in range(20)]
+    m = toxicity.train(texts, [k % 2 for k in range(20)])
+    s = m.score(["alpha gamma vile wretch", "alpha gamma kind friend", "alpha gamma"])
+    assert s[0] > 0.5 > s[1] and s[0] > s[2] > s[1]
+    assert np.allclose(toxicity.train(["a b", "c d"], [0, 1]).score(["a b", "c d", ""]), 0.5)
+
+
+def test_one_text_of_a_labelled_id(spark):
+    """However often a labelled id repeats, one row of it reaches the driver."""
+    from pyspark.sql import functions as F
+
+    docs = spark.range(3000).select((F.col("id") % 3).alias("doc_id"), F.concat(F.lit("text "), (F.col("id") % 4).cast("string")).alias("text"))
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 0)], "doc_id long, toxic int")
+    seen = []
+    real, toxicity.train = toxicity.train, lambda texts, y: seen.append((texts, y)) or real(texts, y)
+    try:
+        toxicity.fit(docs, labels)
+    finally:
+        toxicity.train = real
+    usable = [i for i in range(3) if zlib.crc32(str(i).encode()) % 5]
+    assert seen == [(["text 0"] * len(usable), [int(i == 0) for i in usable])]
+
+
+def test_training_against_plain_loops():
+    """The same steps, document by document, on vectors kept in a dictionary."""
+    rng = np.random.default_rng(3)
+    vocabulary = [f"w{i}" for i in range(12)]
+    y = [int(k % 3 == 0) for k in range(90)]
+    texts = [" ".join([*rng.choice(vocabulary, 6), *(["awful"] if c else ["lovely"])]) for c in y]
+    model = toxicity.train(texts, y)
+
+    bags = []
+    for t in texts:
+        words, bag = t.split(), {}
+        for w in words:
+            ids = toxicity.subwords([w])[0].tolist()
+            for i in ids:
+                bag[i] = bag.get(i, 0) + 1 / len(ids) / len(words)
+        bags.append(bag)
+    n = [y.count(0), y.count(1)]
+    read = {}
+    for i in set().union(*bags):
+        seen = [sum(i in b for b, c in zip(bags, y, strict=True) if c == k) for k in (0, 1)]
+        share = (sum(seen) + 1) / (len(y) + 2)
+        z = abs(seen[1] / n[1] - seen[0] / n[0]) / (share * (1 - share) * (1 / n[0] + 1 / n[1])) ** 0.5
+        if z >= toxicity.LEAST_Z and sum(seen) >= 3:
+            read[i] = (sum(b.get(i, 0) for b in bags) / len(y)) ** -0.5
+    draw = np.random.default_rng(7)
+    e = draw.normal(size=(toxicity.BUCKETS, toxicity.DIM)) * 0.01
+    w = np.outer(draw.normal(size=toxicity.DIM), [-0.5, 0.5])
+    b = np.log(np.array(n) / len(y))
+    for epoch in range(toxicity.EPOCHS):
+        rate = toxicity.RATE * (1 - epoch / toxicity.EPOCHS)
+        for part in np.array_split(draw.permutation(len(y)), max(1, len(y) // toxicity.STEP)):
+            de, dw, db = {}, np.zeros_like(w), np.zeros_like(b)
+            for k in part:
+                own = {i: v * read[i] for i, v in bags[k].items() if i in read}
+                x = sum((v * e[i] for i, v in own.items()), np.zeros(toxicity.DIM))
+                z = np.exp(x @ w + b)
+                g = (z / z.sum() - np.eye(2)[y[k]]) / len(part)
+                for i, v in own.items():
+                    de[i] = de.get(i, 0) + v * (w @ g)
+                dw += np.outer(x, g)
+                db += g
+            for i, d in de.items():
+                e[i] -= rate * (d + toxicity.DECAY * e[i])
+            w -= rate * 0.1 * dw
+            b -= rate * 0.1 * db
+    want = {i: float(e[i] @ (w[:, 1] - w[:, 0])) * r for i, r in read.items()}
+    assert set(np.flatnonzero(model.table)) == set(want) and len(want) > 10
+    assert np.allclose([model.table[i] for i in want], list(want.values()), rtol=0.02, atol=0.02) and abs(model.bias - (b[1] - b[0])) < 0.02
