@@ -11,7 +11,11 @@ that share enough keys are candidates, and a geometric consensus decides. Two pa
   Its work grows with the square of the nodes that share common keys, its exchange with nodes times tiles.
 
 So no candidate goes uncompared; what is approximate is the index that makes candidates, whose recall is
-measured against comparing all pairs. Defined results:
+measured against comparing all pairs. ``exact=True`` compares all pairs in the second pass, keys or not,
+for tables whose square is affordable. Bounds of the comparison itself, all of them settings of
+``pictures``: sides are reduced to MOST_SIDE, pictures above MOST_PIXELS count as not read, corners
+are the strongest on each scale and as many as the picture's size allows, two pictures differ in scale
+by 0.4 to 2.5, and fewer than AGREE corners link nothing. Defined results:
 * media files in formats that decode() does not read (JPEG, GIF, WebP, 16-bit or interlaced PNG, sound, film) link where their bytes are equal
 * null, empty or what does not begin like a media file: no link, a component of its own; pictures without enough corners link by equal pixels only
 * repeated rows count alike; null ids stay and name no component, one of null ids alone is null
@@ -112,8 +116,10 @@ def _crowded(root: np.ndarray, corners: list[bytes]) -> tuple[np.ndarray, np.nda
     return tuple(np.concatenate([np.zeros(0, t), *x]) for t, x in zip((np.int64, np.int32), zip(*out) if out else ((), ()), strict=True))
 
 
-def _forest(tile: np.ndarray, root: np.ndarray, corners: list[bytes]) -> list[tuple[int, int]]:
+def _forest(tile: np.ndarray, root: np.ndarray, corners: list[bytes], exact: bool = False) -> list[tuple[int, int]]:
     """Positions of linked pairs that span what is linked between two tiles, or inside one where there is only one."""
+    if exact:
+        return _all_pairs(tile, root, corners)
     key, who = _crowded(root, corners)
     if not len(key):
         return []
@@ -162,7 +168,27 @@ def _forest(tile: np.ndarray, root: np.ndarray, corners: list[bytes]) -> list[tu
     return found
 
 
-def _rest(rooted: DataFrame) -> DataFrame:
+def _all_pairs(tile: np.ndarray, root: np.ndarray, corners: list[bytes]) -> list[tuple[int, int]]:
+    lab = {int(r): int(r) for r in np.unique(root)}
+    out, first = [], tile == tile.min()
+    ones = np.flatnonzero(first)
+    others = np.flatnonzero(~first) if not first.all() else ones
+
+    def find(r: int) -> int:
+        while lab[r] != r:
+            lab[r] = r = lab[lab[r]]
+        return r
+
+    for i in ones.tolist():
+        for j in others.tolist():
+            x, y = find(int(root[i])), find(int(root[j]))
+            if x != y and pictures.linked(corners[i], corners[j]):
+                lab[max(x, y)] = min(x, y)
+                out.append((i, j))
+    return out
+
+
+def _rest(rooted: DataFrame, exact: bool = False) -> DataFrame:
     """``rooted`` has node, root and corners. Edges between components, of all pairs with enough keys in common."""
     k = max(TILES, -(-rooted.count() // TILE))
 
@@ -170,7 +196,7 @@ def _rest(rooted: DataFrame) -> DataFrame:
         def done(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
             t = pa.Table.from_batches(rows)
             node, root, tile = (t.column(c).to_numpy() for c in ("node", "root", "t"))
-            found = np.array(_forest(tile, root, t.column("corners").to_pylist()), np.int64).reshape(-1, 2)
+            found = np.array(_forest(tile, root, t.column("corners").to_pylist(), exact), np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(node[found[:, 0]]), pa.array(node[found[:, 1]])], ["u", "v"])
 
         held: list[pa.RecordBatch] = []
@@ -193,7 +219,7 @@ def _rest(rooted: DataFrame) -> DataFrame:
     return tiled.repartition("g").sortWithinPartitions("g").mapInArrow(of, "u long, v long")
 
 
-def links(nodes: DataFrame) -> DataFrame:
+def links(nodes: DataFrame, *, exact: bool = False) -> DataFrame:
     """``nodes`` has node and corners. Edges u, v of verified pairs, which span all that is linked among candidates."""
     spark = nodes.sparkSession
     rooted, edges = nodes.withColumn("root", F.col("node")), None
@@ -209,19 +235,19 @@ def links(nodes: DataFrame) -> DataFrame:
         release(spark)
         rooted = written(_rooted(nodes, edges), "media-rooted")
         release(spark)
-    edges = edges.unionByName(written(_rest(rooted), "media-links"))
+    edges = edges.unionByName(written(_rest(rooted, exact), "media-links"))
     del rooted
     release(spark)
     return edges
 
 
-def copies(media: DataFrame, *, id_col: str = "id", media_col: str = "media") -> DataFrame:
+def copies(media: DataFrame, *, id_col: str = "id", media_col: str = "media", exact: bool = False) -> DataFrame:
     """id, n_corners, component_id (the least id of the pictures that links reach) and kept for each row."""
     rows = descriptors(media, id_col=id_col, media_col=media_col)
     nodes = rows.filter(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("id").alias("least"), F.any_value("corners").alias("corners"))
     nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), "*"), "media-nodes")
     release(media.sparkSession)
-    roots = components(links(nodes.select("node", "corners")))
+    roots = components(links(nodes.select("node", "corners"), exact=exact))
     known = written(nodes.select("node", "digest", "least").join(roots, "node", "left").select("digest", "least", F.coalesce("root", "node").alias("root")), "media-roots")
     least = known.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = known.join(least, "root").select("digest", "component_id", F.lit(True).alias("_known"))

@@ -8,17 +8,16 @@ one shift, turn and scale carries most of their corners onto each other.
 from __future__ import annotations
 
 import hashlib
-import re
 import struct
 import zlib
 from functools import lru_cache
 
 import numpy as np
 
-#: Longer sides are reduced to this before anything else.
-MOST_SIDE = 384
-#: Scales between levels, and corners kept on each.
-STEP, CORNERS = 1.25, (14, 10, 8, 6, 5)
+#: Longer sides are reduced to this before anything else, and pictures of more pixels are not read.
+MOST_SIDE, MOST_PIXELS = 384, 1 << 28
+#: Scales between levels, and corners kept on each by a picture of the base side squared; a larger one keeps more, by the root of its area, on as many more levels as it is larger.
+STEP, CORNERS, BASE_SIDE = 1.25, (14, 10, 8, 6, 5), 96
 BORDER, RADIUS, TURNS = 10, 7, 30
 BITS = 256
 #: Tables of so many bits; a shared key makes two descriptors candidates.
@@ -60,11 +59,28 @@ def _grey(x: np.ndarray) -> np.ndarray:
 
 
 def _pnm(data: bytes) -> np.ndarray:
-    m = re.match(rb"P([56])(?:\s+|#[^\n]*\n)+(\d+)\s+(\d+)\s+(\d+)\s", data)
-    if not m or int(m[4]) != 255:
+    """Three numbers after the kind, between blanks and comments, then one blank and the pixels."""
+    at, numbers = 2, []
+    while len(numbers) < 3:
+        begin = at
+        while at < len(data) and (data[at : at + 1].isspace() or data[at] == 35):
+            if data[at] == 35:
+                at = data.find(b"\n", at)
+                if at < 0:
+                    raise ValueError("a header without its end")
+            at += 1
+        end = at
+        while end < len(data) and end - at < 10 and data[end : end + 1].isdigit():
+            end += 1
+        if at == begin or end == at:
+            raise ValueError("not a PNM header")
+        numbers.append(int(data[at:end]))
+        at = end
+    w, h, most = numbers
+    n = 1 if data[:2] == b"P5" else 3
+    if most != 255 or not data[at : at + 1].isspace() or w * h > MOST_PIXELS:
         raise ValueError("not a PNM of 8 bits")
-    w, h, n = int(m[2]), int(m[3]), 1 if m[1] == b"5" else 3
-    return _grey(np.frombuffer(data, np.uint8, w * h * n, m.end()).reshape(h, w, n))
+    return _grey(np.frombuffer(data, np.uint8, w * h * n, at + 1).reshape(h, w, n))
 
 
 def _png(data: bytes) -> np.ndarray:
@@ -79,33 +95,40 @@ def _png(data: bytes) -> np.ndarray:
             palette = np.frombuffer(chunk, np.uint8).reshape(-1, 3)
         elif kind == b"IDAT":
             body.append(chunk)
-    if head is None or head[2] != 8 or head[6]:
+    if head is None or head[2] != 8 or head[6] or head[3] not in (0, 2, 3, 4, 6) or head[0] * head[1] > MOST_PIXELS:
         raise ValueError("not a plain PNG of 8 bits")
     w, h, step = head[0], head[1], {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[head[3]]
-    raw = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8)[: h * (w * step + 1)].reshape(h, w * step + 1)
+    size = h * (w * step + 1)
+    # no more is unpacked than the header asks for
+    raw = np.frombuffer(zlib.decompressobj().decompress(b"".join(body), size), np.uint8)[:size].reshape(h, w * step + 1)
     out = np.zeros((h, w * step), np.uint8)
-    above = np.zeros(w * step, np.int64)
+    above = np.zeros(w * step, np.uint8)
     for y in range(h):
-        kind, line = raw[y, 0], raw[y, 1:].astype(np.int64)
-        if kind == 2:
+        kind, line = raw[y, 0], raw[y, 1:]
+        if kind == 1:
+            line = np.cumsum(line.reshape(w, step), 0, dtype=np.uint8).ravel()
+        elif kind == 2:
             line = line + above
-        elif kind in (1, 3, 4):
-            for x in range(len(line)):
-                a = line[x - step] & 255 if x >= step else 0
-                b, c = above[x], above[x - step] if x >= step else 0
-                if kind == 1:
-                    line[x] += a
-                elif kind == 3:
-                    line[x] += (a + b) // 2
-                else:
-                    p, q, r = abs(b - c), abs(a - c), abs(a + b - 2 * c)
-                    line[x] += a if p <= q and p <= r else b if q <= r else c
-        out[y] = line & 255
-        above = out[y].astype(np.int64)
+        elif kind in (3, 4):
+            line = np.array(_unfiltered(int(kind), line.tolist(), above.tolist(), step), np.uint8)
+        out[y] = above = line
     x = out.reshape(h, w, step)
     return _grey(palette[x[..., 0]] if palette is not None and head[3] == 3 else x)
 
 
+def _unfiltered(kind: int, line: list[int], above: list[int], step: int) -> list[int]:
+    """A line of averages (3) or of the Paeth predictor (4), whose pixels need the one before them."""
+    for x, b in enumerate(above):
+        a, c = (line[x - step], above[x - step]) if x >= step else (0, 0)
+        if kind == 3:
+            guess = (a + b) // 2
+        else:
+            p, q, r = abs(b - c), abs(a - c), abs(a + b - 2 * c)
+            guess = a if p <= q and p <= r else b if q <= r else c
+        line[x] = (line[x] + guess) & 255
+    return line
+
+
 def pgm(x: np.ndarray) -> bytes:
     return b"P5\n%d %d\n255\n" % (x.shape[1], x.shape[0]) + np.ascontiguousarray(x, np.uint8).tobytes()
 
@@ -158,7 +181,8 @@ def describe(stack: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         return describe(small)
     base = stack.astype(np.float32)
     owner, place, words = [], [], []
-    for level, most in enumerate(CORNERS):
+    more = max(1.0, (height * width) ** 0.5 / BASE_SIDE)
+    for level, most in enumerate(CORNERS + CORNERS[-1:] * int(np.log(more) / np.log(STEP))):
         h, w = round(height / STEP**level), round(width / STEP**level)
         if min(h, w) <= 2 * BORDER + 2:
             break
@@ -175,7 +199,7 @@ def describe(stack: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         inner = np.zeros((h, w), bool)
         inner[BORDER:-BORDER, BORDER:-BORDER] = True
         score = np.where((r >= top) & inner & (r > 1e4), r, -1.0).reshape(n, -1)
-        most = min(most, score.shape[1])
+        most = min(round(most * more), score.shape[1])
         chosen = np.argpartition(-score, most - 1, axis=1)[:, :most]
         who, at = np.nonzero(np.take_along_axis(score, chosen, 1) > 0)
         flat = chosen[who, at]

@@ -1,6 +1,7 @@
 """Pictures: codecs, planted copies with recall and precision, candidates against brute force, and odd inputs."""
 
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -9,6 +10,8 @@ import pytest
 
 from kvlake.llm import media, media_samples, pictures, queries
 
+from .test_near_duplicates import least
+
 SF = "/root/testdata/sf0.1"
 
 
@@ -94,6 +97,41 @@ def test_odd_inputs(spark):
     assert media.copies(df.limit(0)).count() == 0
 
 
+def test_headers_end():
+    """Headers that never end, and files that unpack to more than they say, are refused at once."""
+    began = time.perf_counter()
+    for bad in (b"P5" + b" " * 100_000 + b"x", b"P5" + b" #" * 50_000, b"P5 #a\n" * 20_000, b"P5 " + b"9" * 100_000, b"P6 99999 99999 255 ", b"P51 1 255 x"):
+        assert pictures.decode(bad) is None
+    chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+    bomb = lambda w, h: b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0" * 200_000_000, 1))
+    assert pictures.decode(bomb(1 << 31, 1 << 31)) is None and pictures.decode(bomb(9, 9)).shape == (9, 9)
+    assert time.perf_counter() - began < 5
+    x = np.arange(35, dtype=np.uint8).reshape(7, 5)
+    assert (pictures.decode(b"P5\n# by\n 5 # wide\n7\t255\n" + x.tobytes()) == x).all()
+
+
+def test_all_pairs_where_asked_for(spark):
+    """The exact mode has the components that comparing all pairs has."""
+    ids = [*range(0, 8), *range(400, 436)]
+    packed = [pictures.pack(*pictures.describe(media_samples.picture(i)[None])[0]) for i in ids]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(packed)], "node long, corners binary")
+    edges = [(r.u, r.v) for r in media.links(df, exact=True).collect()]
+    pairs = [(i, j) for i in range(len(ids)) for j in range(i) if pictures.linked(packed[i], packed[j])]
+    assert least(len(ids), edges) == least(len(ids), pairs) and all(pictures.linked(packed[u], packed[v]) for u, v in edges)
+
+
+@pytest.mark.parametrize("part", [1 / 2, 0.42])
+def test_crops_of_large_pictures(part):
+    found = 0
+    for seed in range(6):
+        x = media_samples.scene(900 + seed, 768)
+        k = int(768 * part)
+        a, b = 40 * seed, 300 - 40 * seed
+        whole, cropped = (pictures.pack(*pictures.describe(p[None])[0]) for p in (x, x[a : a + k, b : b + k]))
+        found += pictures.linked(whole, cropped)
+    assert found >= 5
+
+
 @pytest.mark.parametrize("n", [0, 3])
 def test_keys_of_few(n):
     assert len(pictures.keys(np.zeros((n, 4), np.uint64))) == (pictures.TABLES if n else 0)
