@@ -4,11 +4,14 @@ Texts are split by the tokenizer's own pattern into words, which never merge wit
 stay in blocks of bounded size: a block keeps its distinct words and, for each text, the places of
 its words among them. Words of all blocks are dealt into parts by their hash, a part's distinct words
 are encoded once each, and the ids go back to the blocks that asked. A block then lays its words'
-ids, and the pieces of the ids, out by position.
-
-Only distinct words cross the network. Places are written once, in a table bucketed by block, so that
-the join back moves the words' ids alone. The id-to-piece table has as many rows as the vocabulary
-(tens of thousands), which bounds what is broadcast. Defined results:
+ids out by position; its distinct ids meet the id-to-piece table in a hash join, and the pieces are laid
+out the same way.
+
+Only distinct words cross the network, as a row for each block and part; parts have an upper bound, so
+rows grow with the input. A part is read block by block and holds its distinct words alone. Places are
+written once, in a table bucketed by block, so that the join back moves the words' ids alone. The
+id-to-piece table has as many rows as the vocabulary (tens of thousands), which bounds what is
+broadcast. Defined results:
 * null text: no ids, an empty text; ids of rows are carried as they are, null or repeated
 * the strings of special tokens in a text become those tokens, as the tokenizers library has it
 * empty table: no rows; columns of the input beside the named ones are not touched
@@ -31,14 +34,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import batches_of, plan_bytes, scratch, written
+from .shared import batches_of, free, named_table, own, plan_bytes, scratch, written
 
 # Fixed value: the pattern of the byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters of text in a block.
 BLOCK_CHARS = 12 << 20
-#: Bytes of words in a part, all blocks' words counted.
-PART_BYTES = 8 << 20
+#: Bytes of words in a part, all blocks' words counted, until there are MOST_PARTS of them.
+PART_BYTES, MOST_PARTS = 8 << 20, 2048
+#: Words whose ids a task keeps at once; beyond it a word may be encoded again.
+KEPT_WORDS = 1 << 20
+#: Rows of a part that are looked up together.
+ROWS = 64
 #: Texts in an Arrow batch.
 BATCH = 256
 #: Bytes of input for each bucket of the table of places.
@@ -180,29 +187,56 @@ def _strings(sizes: np.ndarray, data: bytes) -> pa.Array:
     return pa.StringArray.from_buffers(len(sizes), pa.py_buffer(ends.tobytes()), pa.py_buffer(data))
 
 
+class _Coded:
+    """The ids of the distinct words of a part, one word after another."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.count, self.start, self.flat, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), 0
+
+    def places(self, words: list[str]) -> np.ndarray:
+        new = [w for w in words if w not in self.place]
+        for k in range(0, len(new), 20_000):
+            part = new[k : k + 20_000]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            count = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter((i for e in ids for i in e), np.int32, int(count.sum()))
+            if self.used + len(flat) > len(self.flat):
+                self.flat = np.concatenate([self.flat[: self.used], flat, np.zeros(self.used, np.int32)])
+            self.flat[self.used : self.used + len(flat)] = flat
+            self.place.update(zip(part, range(len(self.place), len(self.place) + len(part)), strict=True))
+            self.start = np.concatenate([self.start, self.used + np.cumsum(count) - count])
+            self.count = np.concatenate([self.count, count])
+            self.used += len(flat)
+        return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+
+
 def _answer(asked: DataFrame, spec: str) -> DataFrame:
     """A part's distinct words are encoded once each; every block gets its words' ids, in its own order."""
 
-    def of(t: pa.Table) -> pa.Table:
-        tokenizer = _tokenizer(spec)
-        lists = [_strings(_unpack(s), zlib.decompress(w)) for s, w in zip(t.column("sizes").to_pylist(), t.column("words").to_pylist(), strict=True)]
-        coded = pa.concat_arrays(lists).dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        ids = []
-        for k in range(0, len(words), 20_000):
-            ids += [e.ids for e in tokenizer.encode_batch_fast(words[k : k + 20_000], add_special_tokens=False)]
-        count = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for e in ids for i in e), np.int32, int(count.sum()))
-        start = np.cumsum(count) - count
-        own, cuts = coded.indices.to_numpy(), np.cumsum([0, *map(len, lists)])
-        counts, tokens = [], []
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            w = own[a:b]
-            counts.append(_pack(count[w]))
-            tokens.append(_pack(flat[_runs(start[w], count[w])]))
-        return pa.table({"block": t.column("block"), "part": t.column("part"), "counts": pa.array(counts, pa.binary()), "tokens": pa.array(tokens, pa.binary())})
-
-    return asked.groupBy("part").applyInArrow(of, "block long, part int, counts binary, tokens binary")
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coded, at = _Coded(_tokenizer(spec)), None
+        for b in batches:
+            parts = b.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)]
+            for lo, hi in ((k, min(k + ROWS, y)) for x, y in zip(cuts[:-1], cuts[1:], strict=True) for k in range(x, y, ROWS)):
+                if at != parts[lo] or len(coded.place) > KEPT_WORDS:
+                    coded.clear()
+                    at = parts[lo]
+                lists = [_strings(_unpack(s), zlib.decompress(w)) for s, w in zip(b.column(2).slice(lo, hi - lo).to_pylist(), b.column(3).slice(lo, hi - lo).to_pylist(), strict=True)]
+                named = pa.concat_arrays(lists).dictionary_encode()
+                own = coded.places(named.dictionary.to_pylist())[named.indices.to_numpy()]
+                ends = np.cumsum([0, *map(len, lists)])
+                rows = [own[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
+                counts = [_pack(coded.count[w]) for w in rows]
+                tokens = [_pack(coded.flat[_runs(coded.start[w], coded.count[w])]) for w in rows]
+                yield pa.RecordBatch.from_arrays([b.column(1).slice(lo, hi - lo), b.column(0).slice(lo, hi - lo), pa.array(counts, pa.binary()), pa.array(tokens, pa.binary())], ["block", "part", "counts", "tokens"])
+
+    return asked.repartition("part").sortWithinPartitions("part").mapInArrow(of, "block long, part int, counts binary, tokens binary")
 
 
 def _runs(start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -219,22 +253,21 @@ def encode_decode(docs: DataFrame, spec: str, *, id_col: str = "doc_id", text_co
     size = plan_bytes(docs)
     # rows that are not from files have no known size
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions")) if size >= 1 << 60 else min(max(8, math.ceil(size / BUCKET_BYTES)), MOST_BUCKETS)
-    name = f"kvlake_places_{uuid.uuid4().hex}"
+    name = named_table(f"kvlake_places_{uuid.uuid4().hex}")
     with batches_of(spark, BATCH):
         blocks = _blocks(rows, spec)
         blocks.write.bucketBy(buckets, "block").option("path", scratch(spark, "bpe-places")).option("compression", "zstd").saveAsTable(name)
     table = spark.table(name)
     size = table.agg(F.coalesce(F.sum("word_bytes"), F.lit(0)).alias("b")).first().b
-    parts = max(8, math.ceil(size / PART_BYTES))
+    parts = min(max(8, math.ceil(size / PART_BYTES)), MOST_PARTS)
     with batches_of(spark, 1):
         asked = written(_asked(table, parts), "bpe-asked", "uncompressed")
     answers = _answer(asked, spec)
-    vocabulary = pa.array(pieces_of(spec), pa.binary())
-    sent = spark.sparkContext.broadcast(vocabulary)
+    pieces = pieces_of(spec)
+    sent = spark.sparkContext.broadcast(pa.table({"token": pa.array(range(len(pieces)), pa.int32()), "piece": pa.array(pieces, pa.binary())}))
     schema = T.StructType([T.StructField("id", kind), T.StructField("tokens", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
     def lay(t: pa.Table, words: pa.Table) -> Iterator[pa.RecordBatch]:
-        pieces = sent.value.to_pylist()
         for ids, *packed in zip(*[t.column(c) for c in ("ids", "order", "lengths", "places")], strict=True):
             order, lengths, places = (_unpack(x.as_py()) for x in packed)
             words = words.sort_by("part")
@@ -242,8 +275,11 @@ def encode_decode(docs: DataFrame, spec: str, *, id_col: str = "doc_id", text_co
             got, flat = join("counts").astype(np.int64), join("tokens")
             count, start = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
             count[order], start[order] = got, np.cumsum(got) - got
-            # the id-to-piece join, once for each distinct word
-            named, text_of = flat.tolist(), [b""] * len(order)
+            # the id-to-piece join of the block's distinct ids
+            distinct, at_id = np.unique(flat, return_inverse=True)
+            joined = pa.table({"token": pa.array(distinct, pa.int32())}).join(sent.value, "token", join_type="inner", use_threads=False).sort_by("token")
+            pieces = joined.column("piece").to_pylist()
+            named, text_of = at_id.tolist(), [b""] * len(order)
             for w, (a, n) in enumerate(zip(start.tolist(), count.tolist(), strict=True)):
                 text_of[w] = pieces[named[a]] if n == 1 else b"".join(map(pieces.__getitem__, named[a : a + n]))
             ends = np.cumsum(lengths)
@@ -268,12 +304,13 @@ def encode_decode(docs: DataFrame, spec: str, *, id_col: str = "doc_id", text_co
 
 
 def decode(encoded: DataFrame, spec: str, *, id_col: str = "id", tokens_col: str = "tokens") -> DataFrame:
-    """Adds decoded: any rows of ids through a join with the id-to-piece table, laid out by position again. Unknown ids are nothing."""
+    """The rows with decoded, which replaces a column of that name: ids through a join with the id-to-piece table, laid out by position again. Unknown ids are nothing. Other columns are kept, whatever their names."""
     spark = encoded.sparkSession
-    rows = encoded.withColumn("_row", F.monotonically_increasing_id())
-    rows = written(rows, "bpe-decode")
-    at = rows.select("_row", F.posexplode(tokens_col).alias("_pos", "token"))
+    (row,) = free(encoded, "_row")
+    rows = written(encoded.withColumn(row, F.monotonically_increasing_id()), "bpe-decode")
+    at = rows.select(F.col(row).alias("_row"), F.posexplode(tokens_col).alias("_pos", "token"))
     found = at.join(F.broadcast(piece_table(spark, spec)), "token")
     text = F.array_sort(F.collect_list(F.struct("_pos", F.hex("piece").alias("p"))))
-    joined = found.groupBy("_row").agg(F.decode(F.unhex(F.array_join(F.transform(text, lambda x: x["p"]), "")), "UTF-8").alias("decoded"))
-    return rows.join(joined, "_row", "left").withColumn("decoded", F.coalesce("decoded", F.lit(""))).drop("_row")
+    decoded, match = free(rows, "_text", "_match")
+    joined = found.groupBy(F.col("_row").alias(match)).agg(F.decode(F.unhex(F.array_join(F.transform(text, lambda x: x["p"]), "")), "UTF-8").alias(decoded))
+    return rows.join(joined, F.col(row) == F.col(match), "left").select(*own(encoded, "decoded"), F.coalesce(decoded, F.lit("")).alias("decoded"))

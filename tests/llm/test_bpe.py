@@ -57,6 +57,21 @@ def test_words_of_random_text(spec, whole):
         assert [i for w in words for i in whole.encode(w, add_special_tokens=False).ids] == whole.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_decode_beside_columns_of_any_name(spark, spec):
+    df = spark.createDataFrame([(1, [15496], "a", "b", "c", "d", "e")], "id long, tokens array<int>, _row string, decoded string, _text string, _match string, token string")
+    r = bpe.decode(df, spec).first()
+    assert (r._row, r._text, r._match, r.token, r.decoded) == ("a", "c", "d", "e", "Hello")
+
+
+def test_words_that_are_forgotten_are_encoded_again(spark, spec, whole, monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT_WORDS", 3)
+    monkeypatch.setattr(bpe, "ROWS", 1)
+    coded = bpe._Coded(whole)
+    for words in (["Hello", " world"], [" world", "x", "Hello", "yy zz"], []):
+        at = coded.places(words)
+        assert [coded.flat[s : s + n].tolist() for s, n in zip(coded.start[at], coded.count[at], strict=True)] == [whole.encode(w, add_special_tokens=False).ids for w in words]
+
+
 def test_decode_join(spark, spec, whole):
     df = spark.createDataFrame([(1, [15496, 11, 995], "x"), (2, [], "x"), (3, None, "x"), (1, [50256, 12520, 247, 224], "x")], "id long, tokens array<int>, decoded string").drop("decoded")
     got = sorted((r.id, r.decoded) for r in bpe.decode(df, spec).collect())
