@@ -3,8 +3,8 @@
 A package is a ZIP whose members ``archive/*.warc.gz`` are stored, not deflated, so that a record has
 a place in the package itself. Reading starts at the package's end: the end record, the ZIP64 locator
 and end record where sizes or counts need them, the central directory, and each wanted member's local
-header. Members below ``indexes/`` say where records are (one JSON object a line); a package without
-an index is walked record by record. Ranges that touch are read at once, up to a bound.
+header. Members below ``indexes/`` say where records are (CDXJ: a line with the record's key, its time and
+a JSON object, in the keys' order); a package without an index is walked record by record. Ranges that touch are read at once, up to a bound.
 
 Packages are written by tasks into the shared folder, each attempt under its own name; only those
 whose task ended are listed in the table of packages, so a lost executor leaves nothing that counts.
@@ -27,6 +27,7 @@ import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
+from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -64,6 +65,23 @@ def _uri(text: str) -> str:
     return re.sub(r"[\x00-\x20\x7f<>]", lambda m: f"%{ord(m[0]):02X}", text)
 
 
+def surt(uri: str) -> str:
+    """An index key: the host's names from the right, then the path and the query, in lower case."""
+    try:
+        x = urlsplit(uri)
+        host, port = x.hostname, x.port
+    except ValueError:
+        host = None
+    if not host:
+        return uri.lower()
+    return f"{','.join(reversed(host.split('.')))}{f':{port}' if port else ''}){(x.path or '/')}{f'?{x.query}' if x.query else ''}".lower()
+
+
+def index_line(uri: str, kind: str, payload_digest: str, offset: int, length: int, filename: str) -> str:
+    fields = {"url": uri, "mime": "warc/revisit" if kind == "revisit" else "text/html", "status": "200", "digest": f"sha1:{payload_digest}", "length": str(length), "offset": str(offset), "filename": filename}
+    return f"{surt(uri)} {re.sub('[^0-9]', '', DATE)} {json.dumps(fields)}\n"
+
+
 def record(record_id: str, kind: str, uri: str, payload: bytes, sha1: str, refers: str | None) -> bytes:
     """One response or revisit record; a revisit holds the response's HTTP headers without the body."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -160,11 +178,18 @@ class Package:
         for name in sorted(self.members):
             if name.startswith("indexes/"):
                 bases: dict[str, int] = {}
-                for line in self.member(name).decode().splitlines():
-                    x = json.loads(line)
-                    if x["filename"] not in bases:
-                        bases[x["filename"]] = self.start(x["filename"])
-                    yield bases[x["filename"]] + x["offset"], x["length"]
+                found = []
+                for line in self.member(name).decode().split("\n"):
+                    at = line.find("{")
+                    if at < 0:
+                        continue
+                    x = json.loads(line[at:])
+                    # members are named by path, or by the last part of it
+                    where = x["filename"] if x["filename"] in self.members else f"archive/{x['filename']}"
+                    if where not in bases:
+                        bases[where] = self.start(where)
+                    found.append((bases[where] + int(x["offset"]), int(x["length"])))
+                yield from sorted(found)
                 named |= set(bases)
         for name in sorted(self.members):
             m = self.members[name]
@@ -209,7 +234,7 @@ def _packages(rows: DataFrame, root: str) -> DataFrame:
                 sink = io.BytesIO()
                 with zipfile.ZipFile(sink, "w", zipfile.ZIP_STORED) as z:
                     z.writestr("archive/data.warc.gz", archive.getvalue())
-                    z.writestr("indexes/index.cdxj", "".join(index), zipfile.ZIP_DEFLATED)
+                    z.writestr("indexes/index.cdxj", "".join(sorted(index)), zipfile.ZIP_DEFLATED)
                     z.writestr("datapackage.json", json.dumps({"profile": "data-package", "wacz_version": "1.1.1", "resources": [{"name": "data.warc.gz", "path": "archive/data.warc.gz", "bytes": archive.tell()}]}))
                 out.write(sink.getbuffer())
             return pa.RecordBatch.from_pydict({"path": [f"{root}/{name}"], "n_records": pa.array([len(index)], pa.int64()), "bytes": pa.array([sink.tell()], pa.int64())})
@@ -219,10 +244,11 @@ def _packages(rows: DataFrame, root: str) -> DataFrame:
             for i, uri, payload, first, sha1 in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 own = "" if i is None else str(i)
                 kind = "response" if first is None or i == first else "revisit"
-                data = record(ID_PREFIX + own, kind, _uri(uri or ID_PREFIX + own), (payload or "").encode(), sha1, None if kind == "response" else f"{ID_PREFIX}{first}")
+                target = _uri(uri or ID_PREFIX + own)
+                data = record(ID_PREFIX + own, kind, target, (payload or "").encode(), sha1, None if kind == "response" else f"{ID_PREFIX}{first}")
                 packed, at = gzip.compress(data, 6, mtime=0), archive.tell()
                 archive.write(packed)
-                index.append(json.dumps({"id": own, "filename": "archive/data.warc.gz", "offset": at, "length": len(packed)}) + "\n")
+                index.append(index_line(target, kind, sha1, at, len(packed), "data.warc.gz"))
                 if archive.tell() >= PACKAGE_BYTES:
                     yield put()
                     archive, index = io.BytesIO(), []

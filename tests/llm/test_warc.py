@@ -1,5 +1,6 @@
 """WARC packages: round trips, directories of both sizes, and the rule for equal payloads."""
 
+import json
 import base64
 import gzip
 import hashlib
@@ -69,6 +70,12 @@ def wide_zip(name, body):
     return local + body + central + end64 + struct.pack("<IIQI", warc.LOCATOR64, 0, start + len(central), 1) + struct.pack("<IHHHHIIH", warc.END, 0, 0, warc.FULL16, warc.FULL16, warc.FULL32, warc.FULL32, len(comment)) + comment
 
 
+def test_index_lines():
+    assert warc.surt("https://Www.Example.com:8080/A/b?x=1") == "com,example,www:8080)/a/b?x=1" and warc.surt("http://a.b") == "b,a)/" and warc.surt("urn:x-page:5") == "urn:x-page:5" and warc.surt("http://[") == "http://["
+    key, when, rest = warc.index_line("http://a.b/c d".replace(" ", "%20"), "revisit", "ABC", 5, 7, "data.warc.gz").split(" ", 2)
+    assert (key, when) == ("b,a)/c%20d", "20240101000000") and json.loads(rest)["offset"] == "5" and json.loads(rest)["mime"] == "warc/revisit"
+
+
 def test_zip64_directory():
     records = [gzip.compress(warc.record(f"urn:x-page:{i}", "response", "u", b"p%d" % i, "s", None)) for i in range(3)]
     data = wide_zip("archive/data.warc.gz", b"".join(records))
