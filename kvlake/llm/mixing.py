@@ -54,7 +54,9 @@ def source_targets(sizes: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5
 
 
 def random_key(id_col: str, text_col: str):
-    return F.xxhash64(F.col(id_col), F.col(text_col))
+    """The first 64 bits of the MD5 of id and text, which any SQL engine can find."""
+    both = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(both), 1, 16), 16, -10).cast("long")
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
