@@ -232,8 +232,9 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     Where ids tell rows apart, the kept ids are looked up in the documents. Where one repeats, or two are
     null, rows get numbers first, in a written copy, and the numbers are looked up.
     """
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col)
-    if found.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+    ids = docs.select(F.col(id_col).cast("long").alias("id"))
+    if ids.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        found = near_duplicates(docs, id_col=id_col, text_col=text_col)
         keep = found.filter(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_kept"))
         return _kept(docs, keep, F.col(id_col).cast("long"))
     (row,) = free(docs, "_row")

@@ -1,7 +1,8 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax.
 
 A word is the average of the vectors of its character n-grams, a document the average of its words,
-and a linear softmax sits on top; vectors and softmax are trained together, in numpy, on the driver.
+and a linear softmax sits on top; vectors and softmax are trained together, in numpy, on the driver, to
+which tasks send labelled documents as bags of n-grams.
 An unseen misspelling is made of n-grams that were seen. As everything above the n-grams is linear, a
 trained model is a number for each n-gram bucket, which is what tasks carry; a document's score needs
 one look at each of its words.
@@ -12,7 +13,7 @@ held-out ones; all else covers every row and the whole text. Defined results:
 * no usable label, or labels of one class alone: every score is that class's rate (0 without labels)
 * null ids: not held out, as they have no text to take a remainder of; repeated rows are scored alike
 * labels with a null id or value are left out; of several for one id the largest holds; of several texts
-  under one labelled id the least is learned from, so that at most ``SAMPLE`` rows reach the driver
+  under one labelled id the least is learned from, so that at most ``SAMPLE`` bags reach the driver
 * few labels: what the classes differ in is looked for by standard errors, which n labels bring to the
   root of n at most, so the demand falls with n below 39; from a handful every score is the classes' rate
 * columns of the input beside the named ones are not touched, whatever their names
@@ -27,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
 
 #: Labelled rows that the model is fitted to, at most.
 SAMPLE = 8000
@@ -106,36 +108,74 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z + self.bias, -60, 60)))
 
 
+def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """A text's n-gram buckets and their parts of its average."""
+    words = split(text)
+    if not words:
+        return np.zeros(0, np.int32), np.zeros(0, np.float32)
+    own, count = _counts(words)
+    ids, at = subwords(own)
+    per = np.bincount(at, minlength=len(count))
+    u, inv = np.unique(ids, return_inverse=True)
+    return u.astype(np.int32), np.bincount(inv, (count / per / len(words))[at]).astype(np.float32)
+
+
+#: Parts are added up as whole numbers of this size, which have the same sum in any order.
+UNIT = 2.0**-40
+
+
+class Tally:
+    """Of labelled texts: how many of each class have each bucket, and the sum of the parts."""
+
+    def __init__(self):
+        self.n, self.seen, self.parts = np.zeros(2, np.int64), np.zeros((2, BUCKETS), np.int64), np.zeros(BUCKETS, np.int64)
+
+    def add(self, own: tuple[np.ndarray, np.ndarray], label: int) -> None:
+        u, v = own
+        self.n[label] += 1
+        self.seen[label, u] += 1
+        self.parts[u] += np.rint(v.astype(np.float64) / UNIT).astype(np.int64)
+
+    def read(self) -> np.ndarray:
+        """By how much each bucket's parts are multiplied; 0 where it gets no vector.
+
+        Vectors are given to the n-grams that are in more, or fewer, toxic documents than chance explains;
+        of the many others each would fit a few documents. All are read by the square root of their rate,
+        at which they vary alike by chance.
+        """
+        n, seen = self.n, self.seen
+        share = (seen.sum(0) + 1) / (n.sum() + 2)
+        z = np.abs(seen[1] / n[1] - seen[0] / n[0]) / np.sqrt(share * (1 - share) * (1 / n[0] + 1 / n[1]))
+        rate = self.parts * UNIT / n.sum()
+        return np.where((z >= min(LEAST_Z, OF_ROOT * np.sqrt(n.sum()))) & (seen.sum(0) >= 3), 1 / np.sqrt(np.maximum(rate, 1e-9)), 0)
+
+
+def kept(own: tuple[np.ndarray, np.ndarray], read: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bag as the vectors see it."""
+    u, v = own
+    k = read[u] > 0
+    return u[k], (v[k] * read[u[k]]).astype(np.float32)
+
+
+def of_one_class(n: np.ndarray) -> Model | None:
+    """The model of no labels, or of labels of one class; None where there are both."""
+    return None if n.all() else Model(np.zeros(BUCKETS), 60.0 if n[1] else -60.0)
+
+
 def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
+    """A model of labelled texts that are all here; ``fit`` is the same over a table."""
+    tally, bags = Tally(), [bag(t) for t in texts]
+    for own, y in zip(bags, labels, strict=True):
+        tally.add(own, y)
+    if one := of_one_class(tally.n):
+        return one
+    read = tally.read()
+    return descend([kept(own, read) for own in bags], np.asarray(labels, np.int64), read, seed)
+
+
+def descend(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, read: np.ndarray, seed: int = 7) -> Model:
     """Gradient descent, by steps of ``STEP`` documents that shrink to nothing, on the cross-entropy of the softmax, over n-gram vectors and both classes' weights together."""
-    y = np.asarray(labels, np.int64)
-    if len(set(y.tolist())) < 2:
-        rate = float(y.mean()) if len(y) else 0.0
-        return Model(np.zeros(BUCKETS), 60.0 if rate else -60.0)
-    bags = []
-    for t in texts:
-        words = split(t)
-        if not words:
-            bags.append((np.zeros(0, np.int32), np.zeros(0, np.float32)))
-            continue
-        own, count = _counts(words)
-        ids, at = subwords(own)
-        per = np.bincount(at, minlength=len(count))
-        w = (count / per / len(words))[at]
-        u, inv = np.unique(ids, return_inverse=True)
-        bags.append((u.astype(np.int32), np.bincount(inv, w).astype(np.float32)))
-    # vectors are given to the n-grams that are in more, or fewer, toxic documents than chance explains;
-    # of the many others each would fit a few documents. All are read by the square root of their rate,
-    # at which they vary alike by chance.
     n = np.bincount(y, minlength=2)
-    seen, rate = np.zeros((2, BUCKETS)), np.zeros(BUCKETS)
-    for (u, v), c in zip(bags, y, strict=True):
-        seen[c, u] += 1
-        rate[u] += v
-    share = (seen.sum(0) + 1) / (n.sum() + 2)
-    z = np.abs(seen[1] / n[1] - seen[0] / n[0]) / np.sqrt(share * (1 - share) * (1 / n[0] + 1 / n[1]))
-    read = np.where((z >= min(LEAST_Z, OF_ROOT * np.sqrt(n.sum()))) & (seen.sum(0) >= 3), 1 / np.sqrt(np.maximum(rate / len(bags), 1e-9)), 0)
-    bags = [(u[k], (v[k] * read[u[k]]).astype(np.float32)) for u, v in bags for k in (read[u] > 0,)]
     rng = np.random.default_rng(seed)
     e = (rng.normal(size=(BUCKETS, DIM)) * 0.01).astype(np.float32)
     w = np.outer(rng.normal(size=DIM), [-0.5, 0.5]).astype(np.float32)
@@ -173,13 +213,42 @@ def held_out(id_col: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
-    """At most ``sample`` ids reach the join, and one text of each the driver."""
+    """At most ``sample`` ids reach the join. Texts stay in the tasks: the driver gets the buckets' tallies, then each text's bag of the buckets that have vectors."""
     usable = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
     chosen = usable.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     text = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    found = text.join(F.broadcast(chosen), "_id").groupBy("_id", "_y").agg(F.min("_text").alias("_text"))
-    rows = found.toArrow().sort_by([("_id", "ascending")])
-    return train(rows.column("_text").to_pylist(), rows.column("_y").to_pylist())
+    rows = text.join(F.broadcast(chosen), "_id").groupBy("_id", "_y").agg(F.min("_text").alias("_text"))
+    rows = written(rows, "toxicity-sample")
+
+    def tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = Tally()
+        for b in batches:
+            for y, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                t.add(bag(x), y)
+        at = np.flatnonzero(t.seen.sum(0))
+        # the classes' own counts are a row of their own
+        cells = [np.r_[at, -1], np.r_[t.seen[0, at], t.n[0]], np.r_[t.seen[1, at], t.n[1]], np.r_[t.parts[at], 0]]
+        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cells], ["bucket", "zero", "one", "parts"])
+
+    found = rows.mapInArrow(tallied, "bucket long, zero long, one long, parts long").groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("zero", "one", "parts")]).toArrow()
+    at, *cells = (found.column(c).to_numpy() for c in ("bucket", "zero", "one", "parts"))
+    tally, real = Tally(), at >= 0
+    tally.seen[0, at[real]], tally.seen[1, at[real]], tally.parts[at[real]] = (c[real] for c in cells)
+    tally.n[:] = [c[~real].sum() for c in cells[:2]]
+    if one := of_one_class(tally.n):
+        return one
+    read = tally.read()
+    sent = docs.sparkSession.sparkContext.broadcast(read)
+
+    def bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bags = [kept(bag(x), sent.value) for x in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([u for u, _ in bags], pa.list_(pa.int32())), pa.array([v for _, v in bags], pa.list_(pa.float32()))], ["_id", "_y", "u", "v"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    bags = rows.mapInArrow(bagged, f"_id {kind}, _y int, u array<int>, v array<float>").toArrow().sort_by("_id")
+    pairs = [(np.array(u.as_py(), np.int32), np.array(v.as_py(), np.float32)) for u, v in zip(bags.column("u"), bags.column("v"), strict=True)]
+    return descend(pairs, bags.column("_y").to_numpy().astype(np.int64), read)
 
 
 def scores(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -86,13 +86,24 @@ def test_one_text_of_a_labelled_id(spark):
     docs = spark.range(3000).select((F.col("id") % 3).alias("doc_id"), F.concat(F.lit("text "), (F.col("id") % 4).cast("string")).alias("text"))
     labels = spark.createDataFrame([(0, 1), (1, 0), (2, 0)], "doc_id long, toxic int")
     seen = []
-    real, toxicity.train = toxicity.train, lambda texts, y: seen.append((texts, y)) or real(texts, y)
+    real, toxicity.descend = toxicity.descend, lambda bags, y, read: seen.append((len(bags), y.tolist())) or real(bags, y, read)
     try:
-        toxicity.fit(docs, labels)
+        m = toxicity.fit(docs, labels)
     finally:
-        toxicity.train = real
+        toxicity.descend = real
     usable = [i for i in range(3) if zlib.crc32(str(i).encode()) % 5]
-    assert seen == [(["text 0"] * len(usable), [int(i == 0) for i in usable])]
+    if 0 in usable and len(usable) > 1:
+        assert seen == [(len(usable), [int(i == 0) for i in usable])]
+    local = toxicity.train(["text 0"] * len(usable), [int(i == 0) for i in usable])
+    assert np.array_equal(m.table, local.table) and m.bias == local.bias
+
+
+def test_a_table_and_a_list_give_one_model(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rows = docs.join(labels, "doc_id").filter(~toxicity.held_out(docs.doc_id)).orderBy("doc_id").collect()
+    local, m = toxicity.train([r.text for r in rows], [r.toxic for r in rows]), toxicity.fit(docs, labels)
+    assert np.array_equal(m.table, local.table) and m.bias == local.bias and np.count_nonzero(m.table) > 5
 
 
 def test_training_against_plain_loops():
