@@ -25,7 +25,8 @@ def run_metadata(rows: DataFrame, run: str = "run_id", size: Column | None = Non
 def overlapping(a: DataFrame, b: DataFrame, run: str = "run_id") -> DataFrame:
     """Pairs of runs of two manifests whose key ranges meet; manifests have a row for each run, not for each record."""
     side = lambda m: m.select(F.col(run).alias("id"), F.col("first_key").alias("lo"), F.col("last_key").alias("hi"))
-    return meeting(side(a), side(b)).select(F.col("a").alias("run_a"), F.col("b").alias("run_b"))
+    first = side(a)
+    return meeting(first, first if b is a else side(b)).select(F.col("a").alias("run_a"), F.col("b").alias("run_b"))
 
 
 def levels_to_compact(manifest: DataFrame, threshold: int = RUNS_PER_LEVEL) -> DataFrame:

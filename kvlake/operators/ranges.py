@@ -28,6 +28,13 @@ def ranged(rows: DataFrame, by: list[str], range_rows: int | None = None) -> Dat
     return spark.read.schema(rows.withColumn("_range", F.spark_partition_id()).schema).parquet(path)
 
 
+def stored(rows: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder and read: for what several steps use."""
+    path = scratch(rows.sparkSession, "stored")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def _joined(rows: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
     """An inner join in which nulls are equal; the columns of ``on`` once."""
     renamed = small.select(*[F.col(c).alias(f"_of_{c}") if c in on else F.col(c) for c in small.columns])
@@ -69,10 +76,12 @@ def meeting(a: DataFrame, b: DataFrame, bin_rows: int = 64) -> DataFrame:
 
     The begins of all intervals, in order, are cut into bins; an interval stands in every bin that it
     reaches and a pair is made in the one where the later of the two begins. So the work grows with
-    the pairs found. Intervals stand for whole runs, so their begins are a small table.
+    the pairs found. Intervals stand for whole runs, so their begins are a small table. Both sides
+    are worked out once.
     """
+    a, b = (stored(a),) * 2 if a is b else (stored(a), stored(b))
     begins = a.select(F.col("lo").alias("at")).unionByName(b.select(F.col("lo").alias("at"))).distinct()
-    begins = begins.withColumn("bin", F.floor((F.row_number().over(Window.orderBy("at")) - 1) / bin_rows).cast("long"))
+    begins = stored(begins.withColumn("bin", F.floor((F.row_number().over(Window.orderBy("at")) - 1) / bin_rows).cast("long")))
 
     def binned(side: DataFrame) -> DataFrame:
         first = side.join(begins.withColumnRenamed("bin", "first_bin"), F.col("lo") == F.col("at")).drop("at")

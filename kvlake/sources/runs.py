@@ -44,10 +44,17 @@ class RunStore:
         last = (self._versions() or [0])[-1]
         self.spark.createDataFrame(rows, MANIFEST_SCHEMA).coalesce(1).write.parquet(f"{self.root}/manifest-{last + 1}")
 
-    def _write(self, run_id: int, records: DataFrame) -> None:
-        sorted_ = records.repartitionByRange("key").sortWithinPartitions("key")
+    def _writer(self, sorted_: DataFrame):
         writer = sorted_.write.option("compression", self.codec).option("parquet.block.size", GROUP_BYTES).option("parquet.page.size", self.block_bytes)
-        writer.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.adaptive.enabled", "true").option("parquet.bloom.filter.max.bytes", BLOOM_BYTES).option("parquet.bloom.filter.fpp#key", BLOOM_RATE).mode("overwrite").parquet(f"{self.root}/run={run_id}")
+        return writer.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.adaptive.enabled", "true").option("parquet.bloom.filter.max.bytes", BLOOM_BYTES).option("parquet.bloom.filter.fpp#key", BLOOM_RATE)
+
+    def _write(self, run_id: int, records: DataFrame) -> None:
+        self._writer(records.repartitionByRange("key").sortWithinPartitions("key")).mode("overwrite").parquet(f"{self.root}/run={run_id}")
+
+    def _folders(self) -> list[int]:
+        fs, p = files._fs(self.spark, self.root)
+        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted(int(n[4:]) for n in names if n.startswith("run="))
 
     def read(self, run_id: int) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/run={run_id}")
@@ -62,16 +69,31 @@ class RunStore:
         self._put_manifest([tuple(r) for r in known] + new)
         return run_id
 
+    def load(self, records: DataFrame, now: int, level: int = 0) -> list[int]:
+        """Writes records that come with run_id, a run for each id, in one pass over them; returns the ids.
+
+        Ids have to be above those of the runs in the store; a null or lower one fails the write.
+        """
+        known = self.manifest().collect()
+        last = max([0, *(r.run_id for r in known)])
+        for r in set(self._folders()) - {r.run_id for r in known}:
+            files.delete(self.spark, f"{self.root}/run={r}")
+        new = F.when(F.col("run_id") > last, F.col("run_id")).otherwise(F.raise_error(F.lit(f"run_id has to be above {last}")).cast("long"))
+        rows = records.withColumn("run", new).drop("run_id").repartitionByRange("run", "key").sortWithinPartitions("run", "key")
+        self._writer(rows).partitionBy("run").mode("append").parquet(self.root)
+        ids = [r for r in self._folders() if r > last]
+        if ids:
+            meta = run_metadata(self.versions(ids)).collect()
+            self._put_manifest([tuple(r) for r in known] + [(r.run_id, level, r.first_key, r.last_key, r.num_records, r.bytes, now) for r in meta])
+        return ids
+
     def versions(self, runs: list[int] | None = None) -> DataFrame:
-        """All records of the runs with run_id."""
+        """All records of the runs with run_id: one scan, however many runs there are."""
         chosen = [r.run_id for r in self.manifest().select("run_id").collect()] if runs is None else runs
         if not chosen:
             return self.spark.createDataFrame([], "key string, value string, expiry long, state tinyint, run_id long")
-        out = None
-        for r in chosen:
-            df = self.read(r).withColumn("run_id", F.lit(r).cast("long"))
-            out = df if out is None else out.unionByName(df)
-        return out
+        rows = self.spark.read.option("basePath", self.root).parquet(*[f"{self.root}/run={r}" for r in chosen])
+        return rows.withColumn("run_id", F.col("run").cast("long")).drop("run")
 
     def get(self, key: str, now: int) -> DataFrame:
         """The newest version of a key, if it is live: runs whose range holds it, then their filters."""
@@ -109,8 +131,6 @@ class RunStore:
         versions, keep = self._versions(), {r.run_id for r in self.manifest().collect()}
         for v in versions[:-1]:
             files.delete(self.spark, f"{self.root}/manifest-{v}")
-        fs, p = files._fs(self.spark, self.root)
-        for s in fs.listStatus(p):
-            name = s.getPath().getName()
-            if name.startswith("run=") and int(name[4:]) not in keep:
-                fs.delete(s.getPath(), True)
+        for r in self._folders():
+            if r not in keep:
+                files.delete(self.spark, f"{self.root}/run={r}")

@@ -81,3 +81,21 @@ def test_runs_stay_small(spark, tmp_path):
     df.write.option("compression", "lz4_raw").parquet(f"file://{tmp_path}/plain")
     assert files.size(spark, f"file://{tmp_path}/runs/run=1") < 1.3 * files.size(spark, f"file://{tmp_path}/plain")
     assert store.get("k000031234", 2).count() == 1
+
+
+def test_load(spark, tmp_path):
+    """Many runs in one pass are what flushing each gives; ids that are null or not above the store's fail."""
+    rows = [("a", "1", 900, 0, 1), ("b", "1", 900, 0, 1), ("a", "2", 900, 0, 5), ("c", "3", 900, 1, 5), ("b", "9", 50, 0, 7)]
+    schema = "key string, value string, expiry long, state tinyint, run_id long"
+    store = RunStore(spark, f"file://{tmp_path}/runs")
+    assert store.load(spark.createDataFrame([], schema), 1) == [] and store.manifest().count() == 0
+    spark.createDataFrame([("x", "0", 900, 0)], "key string, value string, expiry long, state tinyint").write.parquet(f"file://{tmp_path}/runs/run=6")  # what a failed write left
+    assert store.load(spark.createDataFrame(rows, schema), 1) == [1, 5, 7]
+    got = {(r.run_id, r.level, r.first_key, r.last_key, r.num_records) for r in store.manifest().collect()}
+    assert got == {(1, 0, "a", "b", 2), (5, 0, "a", "c", 2), (7, 0, "b", "b", 1)}
+    assert {(r.key, r.value) for r in store.state(100).collect()} == {("a", "2")} and store.get("a", 100).first().value == "2"
+    for bad in (7, None):
+        with pytest.raises(Exception, match="above 7"):
+            store.load(spark.createDataFrame([("d", "1", 900, 0, bad)], schema), 2)
+    assert store.flush(spark.createDataFrame([("d", "1", 900, 0)], "key string, value string, expiry long, state tinyint"), 3) == 8
+    assert store.versions().count() == 6
