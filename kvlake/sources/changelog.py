@@ -77,7 +77,7 @@ def snapshot_rows(spark: SparkSession, path: str) -> DataFrame:
     known = files.versions(spark, path.rstrip("/"), "snapshot")
     if not known:
         raise ValueError(f"no snapshot below {path}")
-    return spark.read.parquet(f"{path.rstrip('/')}/snapshot-{known[-1]}")
+    return files.reader(spark).parquet(f"{path.rstrip('/')}/snapshot-{known[-1]}")
 
 
 def restore(spark: SparkSession, path: str, now: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrameReader, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -34,6 +34,16 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def reader(spark: SparkSession) -> DataFrameReader:
+    """A reader of tables that may be LZ4_RAW, as snapshots and runs are.
+
+    Parquet's dictionary filter fetches a dictionary by pieces of 8 KiB, and its LZ4_RAW decompressor
+    fails where a piece is not the whole. So that filter is off; statistics, column indexes and Bloom
+    filters still skip what a predicate rules out.
+    """
+    return spark.read.option("parquet.filter.dictionary.enabled", "false")
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, p = _fs(spark, path)
     return fs.exists(p)

@@ -57,7 +57,7 @@ class RunStore:
         return sorted(int(n[4:]) for n in names if n.startswith("run="))
 
     def read(self, run_id: int) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/run={run_id}")
+        return files.reader(self.spark).parquet(f"{self.root}/run={run_id}")
 
     def flush(self, records: DataFrame, now: int, level: int = 0) -> int:
         """Writes the records as the newest run of a level; returns its id."""
@@ -92,7 +92,7 @@ class RunStore:
         chosen = [r.run_id for r in self.manifest().select("run_id").collect()] if runs is None else runs
         if not chosen:
             return self.spark.createDataFrame([], "key string, value string, expiry long, state tinyint, run_id long")
-        rows = self.spark.read.option("basePath", self.root).parquet(*[f"{self.root}/run={r}" for r in chosen])
+        rows = files.reader(self.spark).option("basePath", self.root).parquet(*[f"{self.root}/run={r}" for r in chosen])
         return rows.withColumn("run_id", F.col("run").cast("long")).drop("run")
 
     def get(self, key: str, now: int) -> DataFrame:

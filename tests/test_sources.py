@@ -48,6 +48,17 @@ def test_snapshot_versions(spark, tmp_path):
     assert files.versions(spark, path, "snapshot") == [2] and changelog.restore(spark, path, 5).count() == 2
 
 
+def test_filters_on_dictionaries_of_many_kilobytes(spark, tmp_path):
+    """A dictionary of over 8 KiB, which LZ4_RAW pages can't be filtered by."""
+    path, n = f"file://{tmp_path}", 40_000
+    rows = spark.range(0, n, 1, 1).select(F.format_string("k%06d", "id").alias("key"), F.col("id").cast("string").alias("value"), (F.col("id") % 4000 + 1).alias("expiry"), F.lit(0).cast("tinyint").alias("state"))
+    changelog.snapshot(rows, f"{path}/snap", 1)
+    assert changelog.restore(spark, f"{path}/snap", 1000).count() == n * 3 // 4
+    store = RunStore(spark, f"{path}/runs")
+    store.flush(rows, 1)
+    assert store.versions().filter("expiry > 1000").count() == store.read(1).filter("expiry > 1000").count() == n * 3 // 4
+
+
 def test_stream_to_runs_with_a_supervisor(spark, tmp_path):
     path = f"file://{tmp_path}"
     records(spark, ("a", "1", 1), ("b", "1", 2)).write.mode("append").parquet(f"{path}/in")
