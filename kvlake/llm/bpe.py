@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import batches_of, free, named_table, own, plan_bytes, scratch, written
+from .shared import batches_of, free, give_back, lean, named_table, own, plan_bytes, scratch, written
 
 # Fixed value: the pattern of the byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -112,8 +112,8 @@ _PLACES = T.StructType([T.StructField("block", T.LongType()), T.StructField("wor
 
 def _pack(x: np.ndarray) -> bytes:
     """Whole numbers by byte plane, compressed: of small numbers the high planes vanish."""
-    x = x.astype("<i4")
-    return zlib.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+    planes, packer = np.ascontiguousarray(x, "<i4").view(np.uint8).reshape(-1, 4), zlib.compressobj(1)
+    return b"".join([*(packer.compress(np.ascontiguousarray(planes[:, k])) for k in range(4)), packer.flush()])
 
 
 def _unpack(data: bytes) -> np.ndarray:
@@ -133,13 +133,15 @@ def _blocks(docs: DataFrame, spec: str) -> DataFrame:
         split, n_block = splitter(spec), TaskContext.get().partitionId() << 32
 
         def block() -> pa.RecordBatch:
-            words = pa.array(list(known), pa.string())
+            """Empties ``known`` as soon as it is read: its words are most of a task's memory."""
+            words, word_bytes = pa.array(list(known), pa.string()), sum(map(len, known))
             cells = np.fromiter((zlib.crc32(w.encode()) & (CELLS - 1) for w in known), np.int32, len(known))
+            known.clear()
             order = np.argsort(cells, kind="stable")
             words = words.take(pa.array(order))
             listed = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
             packed = [pa.array([_pack(x)], pa.binary()) for x in (cells[order], order, np.array(lengths, np.int32), np.concatenate([np.zeros(0, np.int32), *places]))]
-            arrays = [pa.array([n_block], pa.int64()), listed(words), *packed, pa.array([sum(map(len, known))], pa.int64()), listed(pa.concat_arrays(ids))]
+            arrays = [pa.array([n_block], pa.int64()), listed(words), *packed, pa.array([word_bytes], pa.int64()), listed(pa.concat_arrays(ids))]
             return pa.RecordBatch.from_arrays(arrays, [f.name for f in schema.fields])
 
         known, ids, lengths, places, size = {}, [], [], [], 0
@@ -158,10 +160,11 @@ def _blocks(docs: DataFrame, spec: str) -> DataFrame:
                 yield block()
                 known, ids, lengths, places, size = {}, [], [], [], 0
                 n_block += 1
+                give_back()
         if ids:
             yield block()
 
-    return docs.mapInArrow(of, schema)
+    return docs.mapInArrow(lean(of), schema)
 
 
 def _asked(table: DataFrame, parts: int) -> DataFrame:
@@ -179,7 +182,7 @@ def _asked(table: DataFrame, parts: int) -> DataFrame:
                 cells_out = [pa.array([p for p, *_ in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array([s for _, s, _ in rows], pa.binary()), pa.array([w for *_, w in rows], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cells_out, ["part", "block", "sizes", "words"])
 
-    return table.select("block", "words", "cells").mapInArrow(of, "part int, block long, sizes binary, words binary")
+    return table.select("block", "words", "cells").mapInArrow(lean(of), "part int, block long, sizes binary, words binary")
 
 
 def _strings(sizes: np.ndarray, data: bytes) -> pa.Array:
@@ -236,7 +239,7 @@ def _answer(asked: DataFrame, spec: str) -> DataFrame:
                 tokens = [_pack(coded.flat[_runs(coded.start[w], coded.count[w])]) for w in rows]
                 yield pa.RecordBatch.from_arrays([b.column(1).slice(lo, hi - lo), b.column(0).slice(lo, hi - lo), pa.array(counts, pa.binary()), pa.array(tokens, pa.binary())], ["block", "part", "counts", "tokens"])
 
-    return asked.repartition("part").sortWithinPartitions("part").mapInArrow(of, "block long, part int, counts binary, tokens binary")
+    return asked.repartition("part").sortWithinPartitions("part").mapInArrow(lean(of), "block long, part int, counts binary, tokens binary")
 
 
 def _runs(start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -297,6 +300,7 @@ def encode_decode(docs: DataFrame, spec: str, *, id_col: str = "doc_id", text_co
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
         done = list(lay(left, right))
+        give_back()
         return pa.Table.from_batches(done) if done else pa.table({f.name: pa.array([], left.column("ids").type.value_type if f.name == "id" else pa.list_(pa.int32()) if f.name == "tokens" else pa.string()) for f in schema.fields})
 
     placed = spark.table(name).select("block", "ids", "order", "lengths", "places").groupBy("block")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import batches_of, free, written
+from .shared import batches_of, free, lean, written
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -84,7 +84,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     with batches_of(docs.sparkSession, BATCH):
-        return written(chosen.mapInArrow(of, "id long, fp long"), "simhash")
+        return written(chosen.mapInArrow(lean(of), "id long, fp long"), "simhash")
 
 
 def _distance(fp, pivot: int, mask: int):
@@ -212,7 +212,7 @@ def links(fps: DataFrame) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
     tiles = crowded.select("key", "fp", "t", other.alias("o")).select(F.xxhash64("key", F.least("t", "o"), F.greatest("t", "o")).alias("g"), "fp")
     dealt = tiles.repartition("g").sortWithinPartitions("g")
-    return pairs.unionByName(dealt.mapInArrow(_forests, "u long, v long"))
+    return pairs.unionByName(dealt.mapInArrow(lean(_forests), "u long, v long"))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

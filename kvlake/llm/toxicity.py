@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import lean, written
 
 #: Labelled rows that the model is fitted to, at most.
 SAMPLE = 8000
@@ -230,7 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         cells = [np.r_[at, -1], np.r_[t.seen[0, at], t.n[0]], np.r_[t.seen[1, at], t.n[1]], np.r_[t.parts[at], 0]]
         yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cells], ["bucket", "zero", "one", "parts"])
 
-    found = rows.mapInArrow(tallied, "bucket long, zero long, one long, parts long").groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("zero", "one", "parts")]).toArrow()
+    found = rows.mapInArrow(lean(tallied), "bucket long, zero long, one long, parts long").groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("zero", "one", "parts")]).toArrow()
     at, *cells = (found.column(c).to_numpy() for c in ("bucket", "zero", "one", "parts"))
     tally, real = Tally(), at >= 0
     tally.seen[0, at[real]], tally.seen[1, at[real]], tally.parts[at[real]] = (c[real] for c in cells)
@@ -246,7 +246,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([u for u, _ in bags], pa.list_(pa.int32())), pa.array([v for _, v in bags], pa.list_(pa.float32()))], ["_id", "_y", "u", "v"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    bags = rows.mapInArrow(bagged, f"_id {kind}, _y int, u array<int>, v array<float>").toArrow().sort_by("_id")
+    bags = rows.mapInArrow(lean(bagged), f"_id {kind}, _y int, u array<int>, v array<float>").toArrow().sort_by("_id")
     pairs = [(np.array(u.as_py(), np.int32), np.array(v.as_py(), np.float32)) for u, v in zip(bags.column("u"), bags.column("v"), strict=True)]
     return descend(pairs, bags.column("_y").to_numpy().astype(np.int64), read)
 
@@ -262,7 +262,7 @@ def scores(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col(id_col).alias("id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(of, f"id {docs.schema[id_col].dataType.simpleString()}, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(lean(of), f"id {docs.schema[id_col].dataType.simpleString()}, held_out boolean, score double, predicted int")
 
 
 def clean(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
@@ -276,4 +276,4 @@ def clean(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame
             keep = m.score(b.column(at).to_pylist(), known) < 0.5
             yield b.filter(pa.array(keep))
 
-    return docs.mapInArrow(of, docs.schema)
+    return docs.mapInArrow(lean(of), docs.schema)

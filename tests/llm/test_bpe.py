@@ -2,7 +2,10 @@
 
 import hashlib
 import random
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from tokenizers import Tokenizer
@@ -76,3 +79,30 @@ def test_decode_join(spark, spec, whole):
     df = spark.createDataFrame([(1, [15496, 11, 995], "x"), (2, [], "x"), (3, None, "x"), (1, [50256, 12520, 247, 224], "x")], "id long, tokens array<int>, decoded string").drop("decoded")
     got = sorted((r.id, r.decoded) for r in bpe.decode(df, spec).collect())
     assert got == sorted([(1, whole.decode([15496, 11, 995], skip_special_tokens=False)), (2, ""), (3, ""), (1, whole.decode([50256, 12520, 247, 224], skip_special_tokens=False))])
+
+
+LEFT = """
+import re, types
+import pyarrow as pa
+from pyspark.sql import types as T
+from kvlake.llm import bpe, queries
+
+def held():
+    return int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+
+docs = types.SimpleNamespace(schema={"id": types.SimpleNamespace(dataType=T.LongType())}, mapInArrow=lambda f, schema: f)
+bpe.TaskContext = types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 0))
+texts = (pa.RecordBatch.from_pydict({"id": [k], "text": [" ".join(f"w{k}q{i}" for i in range(20_000))]}) for k in range(40))
+before, n = held(), 0
+for b in bpe._blocks(docs, queries.tokenizer_spec())(texts):
+    n += 1
+del b
+print(n, held() - before)
+"""
+
+
+def test_a_worker_gives_its_memory_back():
+    """A worker is kept after its task. Of 800,000 distinct words 51 MB stayed with it, 35 MB where freed memory is given back."""
+    done = subprocess.run([sys.executable, "-c", LEFT], cwd=Path(__file__).resolve().parents[2], capture_output=True, text=True, check=True)
+    blocks, left = done.stdout.split()
+    assert int(blocks) == 1 and float(left) < 43
