@@ -17,6 +17,8 @@ from ..sources.files import scratch
 
 #: Rows of a range on average.
 RANGE_ROWS = 1 << 18
+#: Pairs of intervals that a task makes on average.
+TASK_PAIRS = 1 << 21
 
 
 def ranged(rows: DataFrame, by: list[str], range_rows: int | None = None) -> DataFrame:
@@ -71,26 +73,42 @@ def last_at_or_before(entries: DataFrame, at: str, asked: DataFrame, key: str, r
     return found.select("_row.*", F.coalesce("_own", "_carried").alias("entry"))
 
 
-def meeting(a: DataFrame, b: DataFrame, bin_rows: int = 64) -> DataFrame:
+def _reached(x: DataFrame, y: DataFrame, ties: bool, bin_rows: int) -> DataFrame:
+    """Pairs of an interval of x and one of y that begins in it: after its begin, or with ``ties`` also where it begins. x and y, the ids.
+
+    In the order of begins, what an interval reaches is one span of y, which is cut where bins of y
+    begin. Intervals that begin one after another are a row of tiles, one for each bin that they reach.
+    Tasks are dealt whole tiles, and a tile makes ``bin_rows`` squared pairs at most.
+    """
+    begins = y.select(F.col("lo").alias("at"), F.lit(1).alias("turn"), F.lit(1).alias("_one"), F.lit(None).cast("long").alias("n"), F.lit(None).cast(x.schema["id"].dataType).alias("x"), F.col("id").alias("y"))
+    ends = [x.select(F.col(c).alias("at"), F.lit(turn).alias("turn"), F.lit(0).alias("_one"), "n", F.col("id").alias("x"), F.lit(None).cast(y.schema["id"].dataType).alias("y")) for c, turn in (("lo", 0 if ties else 2), ("hi", 2))]
+    placed = stored(bytes_ahead(begins.unionByName(ends[0]).unionByName(ends[1]), "_one", ["at", "turn"], []).select("turn", "n", "x", "y", "_ahead"))
+    bins = placed.filter("turn = 1").groupBy(F.expr(f"_ahead div {bin_rows}").alias("bin"))
+    bins = bins.agg(F.transform(F.array_sort(F.collect_list(F.struct("_ahead", "y"))), lambda p: p["y"]).alias("ids"))
+    spans = placed.filter("turn <> 1").groupBy("n", "x").agg(F.min("_ahead").alias("start"), F.max("_ahead").alias("stop")).filter("stop > start")
+    spans = stored(spans.withColumn("row", F.expr(f"n div {bin_rows}")))
+    reached = F.explode(F.expr(f"sequence(start div {bin_rows}, (stop - 1) div {bin_rows})")).alias("bin")
+    tiles = spans.groupBy("row").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).select("row", reached).join(bins, "bin")
+    pairs = spans.agg(F.sum(F.expr("stop - start"))).first()[0] or 0
+    pieces = spans.select("x", "start", "stop", "row", reached).repartition(max(1, -(-pairs // TASK_PAIRS)), "row", "bin")
+    first = F.greatest(F.col("start") - F.col("bin") * bin_rows, F.lit(0))
+    size = F.least(F.col("stop") - F.col("bin") * bin_rows, F.lit(bin_rows)) - first
+    pieces = pieces.select("row", "bin", "x", (first + 1).cast("int").alias("first"), size.cast("int").alias("size"))
+    return pieces.join(tiles.hint("shuffle_hash"), ["row", "bin"]).select("x", F.explode(F.slice("ids", F.col("first"), F.col("size"))).alias("y"))
+
+
+def meeting(a: DataFrame, b: DataFrame, bin_rows: int = 1024) -> DataFrame:
     """Pairs of intervals that meet. Both sides have id, lo and hi; returns a and b, the ids.
 
-    The begins of all intervals, in order, are cut into bins; an interval stands in every bin that it
-    reaches and a pair is made in the one where the later of the two begins. So the work grows with
-    the pairs found. Intervals stand for whole runs, so their begins are a small table. Both sides
-    are worked out once.
+    Of two that meet, the later begins in the other. So the pairs are those where b begins in a and,
+    where they don't begin together, those where a begins in b; the work grows with the pairs found.
+    Both sides are worked out once.
     """
-    a, b = (stored(a),) * 2 if a is b else (stored(a), stored(b))
-    begins = a.select(F.col("lo").alias("at")).unionByName(b.select(F.col("lo").alias("at"))).distinct()
-    begins = stored(begins.withColumn("bin", F.floor((F.row_number().over(Window.orderBy("at")) - 1) / bin_rows).cast("long")))
-
-    def binned(side: DataFrame) -> DataFrame:
-        first = side.join(begins.withColumnRenamed("bin", "first_bin"), F.col("lo") == F.col("at")).drop("at")
-        both = last_at_or_before(begins, "at", first, "hi").withColumn("last_bin", F.col("entry.bin")).drop("entry")
-        return both.filter("hi >= lo").withColumn("bin", F.explode(F.sequence("first_bin", "last_bin")))
-
-    x, y = (binned(s).select(*[F.col(c).alias(f"{n}_{c}") for c in ("id", "lo", "hi", "first_bin")], "bin") for s, n in ((a, "a"), (b, "b")))
-    met = x.join(y, "bin").filter(F.col("bin") == F.greatest("a_first_bin", "b_first_bin")).filter("a_hi >= b_lo AND b_hi >= a_lo")
-    return met.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    # n follows the order of begins
+    side = lambda s: stored(s.filter("hi >= lo").orderBy("lo").withColumn("n", F.monotonically_increasing_id()))
+    a, b = (side(a),) * 2 if a is b else (side(a), side(b))
+    later = _reached(a, b, True, bin_rows).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return later.unionByName(_reached(b, a, False, bin_rows).select(F.col("y").alias("a"), F.col("x").alias("b")))
 
 
 def _following(sizes: np.ndarray, limit: int) -> np.ndarray:

@@ -1,6 +1,7 @@
 """Ordered work in ranges against plain loops, with many small ranges and with one."""
 
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -48,3 +49,28 @@ def test_meeting_intervals(spark, monkeypatch):
     runs = [(i, lo := rng.randint(0, 300), lo + rng.choice([0, 3, 40, 200])) for i in range(150)]
     df = spark.createDataFrame(runs, "run_id long, first_key long, last_key long")
     assert sorted(map(tuple, maintenance.overlapping(df, df).collect())) == sorted((a[0], b[0]) for a in runs for b in runs if a[2] >= b[1] and b[2] >= a[1])
+
+
+@pytest.mark.parametrize("bin_rows", [3, 1024])
+def test_meeting_two_sides(spark, bin_rows):
+    rng = random.Random(3)
+    side = lambda n: [(i % 50, lo := rng.randint(0, 60), lo + rng.choice([0, 0, 2, 30])) for i in range(n)]
+    a, b = side(80), side(60)
+    kind = "id long, lo long, hi long"
+    one, other = spark.createDataFrame([*a, (99, None, 5), (98, 5, None)], kind), spark.createDataFrame(b, kind)
+    assert sorted(map(tuple, ranges.meeting(one, other, bin_rows).collect())) == sorted((x[0], y[0]) for x in a for y in b if x[2] >= y[1] and y[2] >= x[1])
+    assert ranges.meeting(one, spark.createDataFrame([], kind), bin_rows).collect() == []
+
+
+def test_meeting_makes_only_its_pairs(spark):
+    """15,000 intervals that all meet: 225 million pairs. Work that grows with a power above theirs does not end in the time given."""
+    n = 15_000
+    df = spark.range(n).selectExpr("id", "id AS lo", f"id + {n} AS hi")
+    stop = threading.Timer(120, spark.sparkContext.cancelAllJobs)
+    stop.start()
+    try:
+        got = ranges.meeting(df, df).agg(F.count("*"), F.sum("a"), F.sum("b"), F.sum(F.col("a") * F.col("b"))).first()
+    finally:
+        stop.cancel()
+    ids = n * (n - 1) // 2
+    assert tuple(got) == (n * n, n * ids, n * ids, ids * ids)
